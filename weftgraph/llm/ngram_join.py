@@ -284,7 +284,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bo
     parts = shuffle_partitions(spark)
     fragments = SPREAD * parts
     segments = rows.select("text").mapInArrow(_segments(n, lower, fragments), "f int, blob binary").repartition(parts, "f")
-    shared = segments.mapInArrow(_frequencies(SPREAD * parts), "g int, blob binary").repartition(parts, "g")
+    shared = segments.mapInArrow(_frequencies(parts), "g int, blob binary").repartition(parts, "g")
     entities = stash(shared.mapInArrow(_prefixes(percent), "ent long, n int, own int, prefix array<long>, grams binary"), "entities")
     roots = stash(components(links(entities, percent)), "roots")
     sizes = stash(sizes, "sizes")
