@@ -263,8 +263,10 @@ def links(entities: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_buckets(buckets: DataFrame) -> DataFrame:
-    """Buckets that hold more than one component, with their size and hub."""
-    per = buckets.groupBy(F.col("gram").alias("k")).agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("own", "ent", "n", "comp")).alias("hub")).where("c0 <> c1")
+    """Buckets that hold more than one component, with their size and hub; of those with the same members, one."""
+    members = F.sum(F.xxhash64("ent").cast("decimal(38,0)")).alias("members")
+    per = buckets.groupBy(F.col("gram").alias("k")).agg(members, F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("own", "ent", "n", "comp")).alias("hub")).where("c0 <> c1")
+    per = per.groupBy("members", "size").agg(F.min("k").alias("k"), F.first("hub").alias("hub"))
     return buckets.join(per.select("k", "size", "hub"), F.col("gram") == F.col("k")).drop("k")
 
 
