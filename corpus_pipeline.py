@@ -19,6 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the base rule and the calibrated rules keep."""
+    docs = docs.select(*COLUMNS)
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
     gone = judged.where("not kept").select(F.col("doc_id").alias("g"), "row").distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g")) & (F.xxhash64("text") == F.col("row")), "left_anti").select(*COLUMNS)
@@ -29,6 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share the smallest id of their class all stay.
     """
+    docs = docs.select(*COLUMNS)
     classes = ngram_join.jaccard_components(docs, n=5, percent=80)
     gone = classes.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("g")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g")), "left_anti").select(*COLUMNS)
@@ -36,19 +38,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no ten-word window of a benchmark item occurs."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), n=10).select(*COLUMNS)
+    return decontaminate.drop_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), n=10).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them: none, one or two times."""
-    mixed = mixing.mix(docs)
+    mixed = mixing.mix(docs.select(*COLUMNS))
     times = F.when(F.col("mix_size") > 0, F.col("mix_taken") / F.col("mix_size")).otherwise(F.lit(0)).cast("int")
     return mixed.withColumn("turn", F.explode(F.array_repeat(F.lit(1), times))).select(*COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows with shard (0 to 7) and slot; shards are near equal by bytes."""
-    out = sharding.shard(docs, shards=8)
+    out = sharding.shard(docs.select(*COLUMNS), shards=8)
     return out.select(*COLUMNS, F.col("shard_size").alias("size"), "shard", "slot")
 
 

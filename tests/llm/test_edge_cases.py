@@ -1,0 +1,276 @@
+"""Nulls, empty tables, repeated rows, long texts and clashing columns, for every operator and stage."""
+
+import collections
+import random
+import re
+import uuid
+
+import pytest
+
+import corpus_pipeline
+from weftgraph.llm import chat, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, sharding, substring_dedup, token_counts
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, row int, shard string, digest string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def corpus():
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choice("abcdeéß") for _ in range(rnd.randint(1, 6))) for _ in range(300)]
+
+    def text(n):
+        return " ".join(rnd.choice(vocabulary) for _ in range(n))
+
+    passage, line = text(60), "A common line of more than twenty characters"
+    rows = [(None, text(70)), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, text(30_000)), (None, None)]
+    base = text(200)
+    rows += [(10 + i, base) for i in range(4)]
+    rows += [(20 + i, base + f" extra{i}") for i in range(4)]
+    rows += [(30 + i, text(40) + "\n" + line + "\n" + passage + " " + text(40)) for i in range(5)]
+    rows += [(40, "ab ab ab " * 40), (41, "x" * 50_000), (42, line + "\n" + line), (43, 'password = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"')]
+    return [(i, t, rnd.choice(["en", "de", None]), rnd.choice(["s1", "s2", None]), len(t or ""), "w", 1, "s", "d") for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    rows = corpus()
+    passage = WORD.findall(rows[16][1])[50:75]
+    return spark.createDataFrame([(1, " ".join(passage)), (2, None), (3, "!!"), (None, "ab ab"), (4, "one")], "item_id long, text string")
+
+
+def fold(s):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in s or "")
+
+
+def test_ngram_join(docs, empty):
+    rows = corpus()
+    sets = []
+    for r in rows:
+        w = WORD.findall(fold(r[1]))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    low = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        low[find(i)].append(r[0])
+    want = sorted(((r[0], len(sets[i]), min((x for x in low[find(i)] if x is not None), default=None) if sets[i] else r[0]) for i, r in enumerate(rows)), key=repr)
+    got = sorted((tuple(r) for r in ngram_join.jaccard_components(docs).collect()), key=repr)
+    assert got == want
+    assert ngram_join.jaccard_components(empty).count() == 0
+
+
+def test_blocks_and_pairs_find_what_hubs_miss(spark, monkeypatch):
+    """A chain: only neighbours are similar, so every way of comparing is needed."""
+    words = [f"w{i}" for i in range(400)]
+    chain = spark.createDataFrame([(i, " ".join(words[i * 6 : i * 6 + 160])) for i in range(30)], "doc_id long, text string")
+    for few in (0, 16):
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        monkeypatch.setattr(ngram_join, "BLOCK", 4)
+        assert {r.component_id for r in ngram_join.jaccard_components(chain, n=4, percent=85).collect()} == {0}
+
+
+def test_substring_dedup(docs, empty):
+    k, rows = 35, corpus()
+    words = [WORD.findall(r[1] or "") for r in rows]
+    seen = collections.Counter(tuple(w[i : i + k]) for w in words for i in range(len(w) - k + 1))
+    want = []
+    for r, w in zip(rows, words, strict=True):
+        gone = {i + j for i in range(len(w) - k + 1) if seen[tuple(w[i : i + k])] > 1 for j in range(k)}
+        want.append((r[0], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    got = [tuple(r) for r in substring_dedup.remove_repeats(docs, k).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert substring_dedup.remove_repeats(empty, k).count() == 0
+
+
+@pytest.mark.parametrize("partitions", ["2", "17"])
+def test_line_dedup(spark, docs, empty, partitions):
+    def key(line):
+        return fold(line.strip(" \t\n\x0b\x0c\r"))
+
+    rows = corpus()
+    holders = collections.defaultdict(set)
+    for r in rows:
+        for x in (r[1] or "").split("\n"):
+            if len(key(x)) >= 20:
+                holders[key(x)].add(r[0])
+    want = []
+    for r in rows:
+        lines = (r[1] or "").split("\n")
+        kept = [x for x in lines if len(holders[key(x)]) < 3 or r[0] == max(holders[key(x)], key=lambda d: (d is not None, d))]
+        want.append((r[0], len(lines), len(lines) - len(kept), "\n".join(kept)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = [tuple(r) for r in line_dedup.drop_common_lines(docs).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert line_dedup.drop_common_lines(empty).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"max_set": 0}, {"max_set": 0, "max_broadcast": 0}])
+def test_decontamination(docs, empty, items, options):
+    got = {(r.doc_id, r.n_words, len(r.spans)): r["items"] for r in decontaminate.hits(docs, items, **options).collect()}
+    hit = {k[0] for k, v in got.items() if v}
+    assert {30, 4} <= hit and not hit & {5, 10, 20, 43}
+    assert decontaminate.hits(docs, items, **options).count() == docs.count()
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items, **options).collect()} & {30, 4, 40} == set()
+    assert decontaminate.remove_spans(docs, items, **options).where("doc_id = 4").first().text == ""
+    assert decontaminate.hits(docs, items.limit(0), **options).where("size(spans) > 0").count() == 0
+    assert decontaminate.hits(empty, items, **options).count() == 0
+
+
+def test_chat(spark):
+    hard = "~ [INST] <s> [~INST] </~~s> \n\\ é [/INST]</s>"
+    rows = [(1, 0, "user", hard, 9), (1, 1, "assistant", hard, 9), (1, 2, "sys\n~1", None, 9), (2, 0, "assistant", "", 9), (2, 0, "assistant", "", 9), (None, None, None, "x", 9), (3, 5, "user", "y" * 100_000, 9)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, example long")
+    made = chat.examples(turns)
+    back = {r.conv_id: r for r in chat.read_back(made).collect()}
+    assert [(t.role, t.text) for t in back[1].turns] == [("user", hard), ("assistant", hard), ("sys\n~1", "")]
+    assert back[1].trained == [hard] and back[2].trained == ["", ""] and back[None].trained == []
+    first = made.where("conv_id = 1 and example = 0").first()
+    assert first.n_turns == 2 and first.text.endswith(" </s>") and first.loss_start + first.loss_chars == len(first.text) - 5
+    assert chat.examples(turns.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
+def test_token_counts(spark, docs, empty, tmp_path, name):
+    P = pytest.importorskip("public_tokenizers")
+    tokenizer, cache = token_counts.TokenizerFile(P.path(name)), f"{tmp_path}/{uuid.uuid4().hex}"
+    count = tokenizer.counter()
+    want = sorted(((r[0], len((r[1] or "").encode()), n, n > 4096) for r, n in zip(corpus(), count([r[1] or "" for r in corpus()]), strict=True)), key=repr)
+    part = docs.where("doc_id < 20")
+    token_counts.token_counts(part, tokenizer, cache).count()
+    stored = spark.read.parquet(cache).count()
+    got = token_counts.token_counts(docs, tokenizer, cache)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+    texts = {r[1] or "" for r in corpus()}
+    assert stored < spark.read.parquet(cache).select("digest").distinct().count() == len(texts) == spark.read.parquet(cache).count()
+    assert token_counts.token_counts(empty, tokenizer, cache).count() == 0
+
+
+def test_sharding(spark, docs, empty):
+    out = sharding.shard(docs, shards=4)
+    assert set(docs.columns) <= set(out.columns)
+    rows = out.collect()
+    assert len(rows) == docs.count()
+    for s in {r.shard for r in rows}:
+        own = [r.slot for r in rows if r.shard == s]
+        assert sorted(own) == list(range(len(own)))
+    many = sharding.shard(spark.range(20_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'the same text', repeat('x', int(id % 97))) AS text"), shards=8)
+    size = [r[1] for r in many.groupBy("shard").sum("shard_size").collect()]
+    assert len(size) == 8 and max(size) - min(size) <= 2 * 98
+    assert sharding.shard(empty).count() == 0
+
+
+def test_mixing(docs, empty):
+    a, b = (sorted((tuple(r) for r in mixing.mix(docs).select("doc_id", "mix_size", "mix_target", "mix_taken").collect()), key=repr) for _ in range(2))
+    assert a == b and all(0 <= t[3] <= 2 * t[1] for t in a) and len(a) == docs.count()
+    assert [t[1] for t in a if t[0] == 5] == [30_000]
+    assert mixing.mix(empty).count() == 0
+
+
+def test_targets_and_flow():
+    got = mixing.targets({"b": 100, "a": 10, None: 50, "c": 40})
+    assert got["a"] == 20 and abs(sum(got.values()) - 300) < 1e-9 and all(got[s] <= 2 * n + 1e-9 for s, n in {"b": 100, "a": 10, None: 50, "c": 40}.items())
+    flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 15, "b": 15}, 2)
+    assert all(abs(sum(f.values()) - 10) < 1e-6 for f in flow.values())  # no word is repeated while others are unused
+    flow = mixing.route({("a",): 10, ("b",): 10}, {"a": 25, "b": 5}, 2)
+    assert abs(flow[("a",)]["a"] - 20) < 1e-6 and abs(flow[("b",)]["b"] - 5) < 1e-6
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    rows = quality.judge(docs, labels).collect()
+    want = []
+    for r in corpus():
+        w = WORD.findall(r[1] or "")
+        grams = collections.Counter(zip(w, w[1:], w[2:]))
+        again = {i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        seen, dup = set(), 0
+        for x in (r[1] or "").split("\n"):
+            if WORD.search(x):
+                dup += x in seen
+                seen.add(x)
+        want.append((r[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r[1] or ""), dup, len(again), len(w) < 50 or 100 * len(again) > 50 * len(w)))
+    got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert quality.judge(empty, labels.limit(0)).count() == 0
+
+
+def test_binomial_bound():
+    from math import comb
+
+    for k, n, p in ((0, 10, 0.2), (3, 50, 0.1), (40, 50, 0.7)):
+        assert abs(quality.binomial_cdf(k, n, p) - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) < 1e-10
+    assert abs(quality.binomial_cdf(10_000, 1_000_000, 0.01) - 0.5) < 0.01
+    assert abs(quality.binomial_upper(0, 100, 0.05) - (1 - 0.05 ** (1 / 100))) < 1e-9
+
+
+def test_calibration_limits_false_rejection(spark):
+    """Held-out good texts: the promised rate holds; the junk that symbols show is rejected."""
+    rnd = random.Random(1)
+    rows, labels = [], []
+    for i in range(6000):
+        bad = i % 10 == 0
+        w = ["w" + str(rnd.randrange(10**6)).translate(str.maketrans("0123456789", "abcdefghij")) + ("###" if bad else "") for _ in range(60)]
+        rows.append((i, " ".join(w), "en"))
+        if i < 4000:
+            labels.append((i, 0 if bad else 1))
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).where("doc_id >= 4000").collect()
+    good, junk = [r for r in out if r.doc_id % 10], [r for r in out if r.doc_id % 10 == 0]
+    assert sum(not r.kept for r in good) <= 0.02 * len(good) and not any(r.kept for r in junk)
+
+
+def test_secrets(spark, docs, empty):
+    made = secrets.synthetic_findings(spark)
+    model = secrets.train(made)
+    from pyspark.ml.feature import VectorAssembler
+
+    held = VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.features(secrets.synthetic_findings(spark, 2000, seed=99)))
+    scored = model.transform(held).select("prediction", "label").collect()
+    assert sum(r.prediction == r.label for r in scored) >= 0.93 * len(scored)
+    found = secrets.scan(docs, model, path_col="source").where("is_secret").collect()
+    assert [(r.doc_id, r.at) for r in found] == [(43, 2)]
+    clean = secrets.redact(docs, model).where("doc_id = 43").first().text
+    assert clean == 'password = "[SECRET]"'
+    assert secrets.scan(empty, model).count() == 0
+
+
+def test_pipeline_stages(spark, docs, empty, items, tmp_path):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for start in (docs, empty):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path))
+            path = f"{tmp_path}/{uuid.uuid4().hex}"
+            now.write.parquet(path)
+            now = spark.read.parquet(path)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert now.columns == corpus_pipeline.COLUMNS
+            if start is docs and name == "n-gram Jaccard join":
+                assert {r.doc_id for r in now.collect()} & set(range(10, 24)) == {10}
+            if start is docs and name == "benchmark decontamination":
+                assert 30 not in {r.doc_id for r in now.collect()}
+        assert (now.count() > 0) == (start is docs)

@@ -73,7 +73,8 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id",
         found = scan.select("doc_id", "row", F.explode("cands").alias("c"))
     else:  # every window meets the benchmark in a join
         scan = rows.select("doc_id", "row", F.size("words").cast("long").alias("n_words"))
-        found = rows.select("doc_id", "row", F.explode("cands").alias("c"))
+        # Outer, as the filter that Spark infers for a plain explode would split the text once per window.
+        found = rows.select("doc_id", "row", F.explode_outer("cands").alias("c"))
     side = wins.select(F.col("anchor").alias("a"), F.col("win").alias("w"), F.col("items").alias("own"))
     met = found.join(F.broadcast(side) if count <= max_broadcast else side, (F.col("c.anchor") == F.col("a")) & (F.col("c.win") == F.col("w")))
     spans, ids = F.collect_set(F.struct("c.at", "c.size")), F.array_sort(F.array_distinct(F.flatten(F.collect_set("own"))))

@@ -6,8 +6,9 @@ n-grams of two entities or more go on. With the global order (frequency, hash),
 threshold share an n-gram among the first n - ceil(t n) + 1 of each, so an entity whose unshared n-grams
 fill that prefix has no partner. The few others meet in buckets by prefix n-gram. A bucket isn't
 multiplied out: a hub (fewest unshared n-grams) is compared with the members of other components and the
-components are merged, twice; buckets that still hold several components are compared block by block,
-two blocks to a task, which returns only links that merge components. The overlap of a pair is counted
+components are merged, twice. Of buckets that still hold several components, those of a few members give
+their distinct pairs, and larger ones are compared block by block, two blocks to a task, which returns
+only links that merge components. The overlap of a pair is counted
 in every fragment separately and the partial counts are summed.
 
 Hashes have 64 bits; equal hashes are taken as equal n-grams and equal digests as equal sets.
@@ -32,7 +33,9 @@ SPREAD = 3
 PARTS = 4
 #: Rounds in which a bucket's hub is compared with its members; the rest is compared block by block.
 HUB_ROUNDS = 2
-#: Members of a bucket's block, and n-grams of a fragment, when two blocks are compared.
+#: Then buckets up to this size are compared pair by pair, each pair once for all its buckets.
+FEW = 16
+#: Members of a larger bucket's block, and n-grams of a fragment, when two blocks are compared.
 BLOCK = 384
 WIDTH = 4096
 
@@ -256,7 +259,13 @@ def links(entities: DataFrame, percent: int) -> DataFrame:
         found = new if found is None else found.unionByName(new)
         roots = components(found)
         buckets = buckets.where(F.col("ent") != F.col("hub.ent")).drop("size", "hub", "comp").join(roots, F.col("ent") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "ent")).drop("node", "root")
-    rest = _open_buckets(buckets).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
+    rest = stash(_open_buckets(buckets).drop("hub"), "rest")
+    few = rest.where(F.col("size") <= FEW)
+    mate = few.select(F.col("gram").alias("k"), F.col("ent").alias("ent2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    near = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("comp") != F.col("comp2"))
+    pairs = few.join(mate, (F.col("gram") == F.col("k")) & (F.col("ent") < F.col("ent2"))).where(near).select(F.col("ent").alias("a"), F.col("ent2").alias("b")).distinct()
+    found = found.unionByName(_verify(pairs, cut, percent))
+    rest = rest.where(F.col("size") > FEW).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
     rest = rest.join(entities.select(F.col("ent").alias("k"), "grams"), F.col("ent") == F.col("k"))
     rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("gram", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "ent", "comp", "n", "grams")
     return found.unionByName(rest.groupBy("gram", "x", "y").applyInArrow(_block_links(percent), "a long, b long"))

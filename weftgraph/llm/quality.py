@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a text whose feature is at least a cutoff. For every stratum (language) and feature the
-cutoff is the lowest value of a fixed grid at which labelled good texts show that the false rejection
-rate is limited: the exact (Clopper-Pearson) upper bound of the rate must stay below the rule's share of
-`risk`. The bound's level is `doubt` divided by all stratum x feature x grid tests (Bonferroni), so with
-probability 1 - doubt no stratum loses more than `risk` of its good texts to all rules together. A stratum
-with too few labels gets no cutoff and rejects nothing beyond the base rule.
+Each rule rejects a text whose feature is at least a cutoff. For every stratum (language) and feature a
+fixed grid of cutoffs is tested from the mildest on, against labelled good texts: the exact
+(Clopper-Pearson) upper bound of the false rejection rate must stay below the rule's share of `risk`. The
+first failure ends the sequence, which needs no correction of its own (fixed-sequence testing); the
+bound's level is `doubt` divided by all stratum x feature sequences (Bonferroni). So with probability
+1 - doubt no stratum loses more than `risk` of its good texts to all rules together. A stratum with too
+few labels gets no cutoff and rejects nothing beyond the base rule.
 """
 
 from __future__ import annotations
@@ -171,7 +172,7 @@ class Cutoffs:
         return out
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, risk: float = 0.01, doubt: float = 0.05) -> Cutoffs:
+def calibrate(stats: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> Cutoffs:
     """Cutoffs from all labelled good texts (labels: doc_id, quality) that pass the base rule.
 
     Only counts per stratum, feature and grid value come to the driver. Several labels of one id count
@@ -183,20 +184,20 @@ def calibrate(stats: DataFrame, labels: DataFrame, risk: float = 0.01, doubt: fl
     found = rows.groupBy("stratum").agg(*counts).limit(MAX_STRATA + 1).collect()
     if len(found) > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata")
-    level = doubt / max(1, len(found) * len(FEATURES) * len(GRID))
+    level = doubt / max(1, len(found) * len(FEATURES))
     share = risk / len(FEATURES)
     values: dict[tuple[str, str], float] = {}
     for r in found:
         for f in FEATURES:
-            for i, c in enumerate(GRID):
+            for i, c in reversed(list(enumerate(GRID))):  # a fixed order, ended by the first failure
                 k, n = r[f"{f}@{i}"], r["n"]
-                if k <= share * n and binomial_upper(k, n, level) <= share:
-                    values[r["stratum"], f] = c
+                if k > share * n or binomial_upper(k, n, level) > share:
                     break
+                values[r["stratum"], f] = c
     return Cutoffs(values)
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, doubt: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
     """One row per input row: doc_id, row, stratum, the counts, base_failed, kept.
 
     `row` is the hash of the text, which tells rows with one id apart.

@@ -38,7 +38,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), words.alias("w"))
     found = F.expr("filter(transform(w, (x, i) -> struct(i as at, x as word)), x -> length(x.word) >= 16)")
     rows = rows.withColumn("hits", F.filter(found, lambda x: F.rlike(x["word"], F.lit(CANDIDATE))))
-    each = rows.where("size(hits) > 0").select("doc_id", "path", F.explode(F.expr("transform(hits, x -> struct(x.at as at, x.word as word, array_join(slice(w, greatest(x.at - 2, 1), least(x.at, 3)), ' ') as lead, coalesce(get(w, x.at + 1), '') as next))")).alias("h"))
+    each = rows.where("size(hits) > 0").select("doc_id", "path", F.explode_outer(F.expr("transform(hits, x -> struct(x.at as at, x.word as word, array_join(slice(w, greatest(x.at - 2, 1), least(x.at, 3)), ' ') as lead, coalesce(get(w, x.at + 1), '') as next))")).alias("h"))
     token = F.regexp_extract("h.word", CANDIDATE, 0)
     place = F.instr("h.word", token)
     before = F.concat_ws(" ", "h.lead", F.substring("h.word", F.lit(1), place - 1))
