@@ -64,10 +64,21 @@ def _sizes(n: int, lower: bool):
     return run
 
 
+def _six(grams: np.ndarray) -> bytes:
+    """The low 48 bits of hashes; what a fragment leaves open of its hashes is told by fewer."""
+    return np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _eight(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view(np.uint64).ravel()
+
+
 def _pack(ent: np.ndarray, n: np.ndarray, count: np.ndarray, grams: np.ndarray) -> bytes:
     """Entities, set sizes, n-grams per entity, and the n-grams' low 48 bits."""
-    low = grams.view(np.uint8).reshape(-1, 8)[:, :6]
-    return len(ent).to_bytes(4, "little") + ent.tobytes() + n.astype(np.uint32).tobytes() + count.astype(np.uint32).tobytes() + np.ascontiguousarray(low).tobytes()
+    return len(ent).to_bytes(4, "little") + ent.tobytes() + n.astype(np.uint32).tobytes() + count.astype(np.uint32).tobytes() + _six(grams)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,10 +86,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     ent = np.frombuffer(blob, np.uint64, k, 4)
     n = np.frombuffer(blob, np.uint32, k, 4 + 8 * k)
     count = np.frombuffer(blob, np.uint32, k, 4 + 12 * k)
-    raw = np.frombuffer(blob, np.uint8, offset=4 + 16 * k).reshape(-1, 6)
-    grams = np.zeros((len(raw), 8), np.uint8)
-    grams[:, :6] = raw
-    return ent, n, count, grams.view(np.uint64).ravel()
+    return ent, n, count, _eight(blob[4 + 16 * k :])
 
 
 def _segments(n: int, lower: bool, fragments: int):
@@ -189,14 +197,14 @@ def _cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g = V.mix(np.frombuffer(blob, np.uint64))
             g.sort()
             for i, piece in enumerate(np.split(g, np.searchsorted(g, edges))):
-                ent.append(e), n.append(k), part.append(i), grams.append(piece.tobytes())
+                ent.append(e), n.append(k), part.append(i), grams.append(_six(piece))
         yield pa.RecordBatch.from_arrays([pa.array(ent, pa.int64()), pa.array(n, pa.int32()), pa.array(part, pa.int32()), pa.array(grams, pa.binary())], names=["ent", "n", "part", "grams"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with both sets' fragment -> the partial overlap."""
     for b in batches:
-        both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+        both = [len(np.intersect1d(_eight(x), _eight(y), assume_unique=True)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
 
 
@@ -253,7 +261,7 @@ def links(entities: DataFrame, percent: int) -> DataFrame:
     found: DataFrame | None = None
     for _ in range(HUB_ROUNDS):
         buckets = stash(_open_buckets(buckets), "buckets")
-        near = (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent) & (F.col("comp") != F.col("hub.comp"))
+        near = _may_link(percent, "hub.n", "hub.own", "hub.comp")
         pairs = buckets.where(near).select(F.least("ent", "hub.ent").alias("a"), F.greatest("ent", "hub.ent").alias("b")).distinct()
         new = stash(_verify(pairs, cut, percent), "found")
         found = new if found is None else found.unionByName(new)
@@ -261,8 +269,8 @@ def links(entities: DataFrame, percent: int) -> DataFrame:
         buckets = buckets.where(F.col("ent") != F.col("hub.ent")).drop("size", "hub", "comp").join(roots, F.col("ent") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "ent")).drop("node", "root")
     rest = stash(_open_buckets(buckets).drop("hub"), "rest")
     few = rest.where(F.col("size") <= FEW)
-    mate = few.select(F.col("gram").alias("k"), F.col("ent").alias("ent2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    near = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("comp") != F.col("comp2"))
+    mate = few.select(F.col("gram").alias("k"), F.col("ent").alias("ent2"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("comp").alias("comp2"))
+    near = _may_link(percent, "n2", "own2", "comp2")
     pairs = few.join(mate, (F.col("gram") == F.col("k")) & (F.col("ent") < F.col("ent2"))).where(near).select(F.col("ent").alias("a"), F.col("ent2").alias("b")).distinct()
     found = found.unionByName(_verify(pairs, cut, percent))
     rest = rest.where(F.col("size") > FEW).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
@@ -271,6 +279,12 @@ def links(entities: DataFrame, percent: int) -> DataFrame:
     return found.unionByName(rest.groupBy("gram", "x", "y").applyInArrow(_block_links(percent), "a long, b long"))
 
 
+def _may_link(percent: int, n2: str, own2: str, comp2: str):
+    """Another component, and enough n-grams that are shared at all to reach the threshold."""
+    most = F.least(F.col("n") - F.col("own"), F.col(n2) - F.col(own2)).cast("long")
+    return (most * (100 + percent) >= (F.col("n") + F.col(n2)) * percent) & (F.col("comp") != F.col(comp2))
+
+
 def _open_buckets(buckets: DataFrame) -> DataFrame:
     """Buckets that hold more than one component, with their size and hub; of those with the same members, one."""
     members = F.sum(F.xxhash64("ent").cast("decimal(38,0)")).alias("members")
