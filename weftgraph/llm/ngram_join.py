@@ -27,8 +27,8 @@ from . import textvec as V
 from .components import components
 from .util import shuffle_partitions, stash
 
-#: Fragments per shuffle partition, so that uneven dealing evens out.
-SPREAD = 3
+#: Slices in which a task works through its fragment, to bound memory.
+SLICES = 3
 #: Fragments in which a pair's overlap is counted.
 PARTS = 4
 #: Rounds in which a bucket's hub is compared with its members; the rest is compared block by block.
@@ -76,17 +76,23 @@ def _eight(blob: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _pack(ent: np.ndarray, n: np.ndarray, count: np.ndarray, grams: np.ndarray) -> bytes:
-    """Entities, set sizes, n-grams per entity, and the n-grams' low 48 bits."""
-    return len(ent).to_bytes(4, "little") + ent.tobytes() + n.astype(np.uint32).tobytes() + count.astype(np.uint32).tobytes() + _six(grams)
+def _pack(ent: np.ndarray, count: np.ndarray, grams: np.ndarray) -> bytes:
+    """Entities, n-grams per entity in a byte each, and the n-grams' low 48 bits.
+
+    An entity of more than 255 n-grams is listed again for the rest.
+    """
+    times = (count + 254) // 255
+    few = np.full(int(times.sum()), 255, np.uint8)
+    few[np.cumsum(times) - 1] = count - 255 * (times - 1)
+    return len(few).to_bytes(4, "little") + np.repeat(ent, times).tobytes() + few.tobytes() + _six(grams)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Each n-gram's entity, the n-grams, and what follows them."""
     k = int.from_bytes(blob[:4], "little")
-    ent = np.frombuffer(blob, np.uint64, k, 4)
-    n = np.frombuffer(blob, np.uint32, k, 4 + 8 * k)
-    count = np.frombuffer(blob, np.uint32, k, 4 + 12 * k)
-    return ent, n, count, _eight(blob[4 + 16 * k :])
+    count = np.frombuffer(blob, np.uint8, k, 4 + 8 * k)
+    end = 4 + 9 * k + 6 * int(count.sum(dtype=np.int64))
+    return np.repeat(np.frombuffer(blob, np.uint64, k, 4), count), _eight(blob[4 + 9 * k : end]), blob[end:]
 
 
 def _segments(n: int, lower: bool, fragments: int):
@@ -109,20 +115,24 @@ def _segments(n: int, lower: bool, fragments: int):
                     change = np.flatnonzero(np.diff(who[lo:hi], prepend=-1))
                     own = who[lo:hi][change]
                     fs.append(i)
-                    blobs.append(_pack(digest[keep][own], size[own], np.diff(change, append=hi - lo), grams[lo:hi]))
+                    blobs.append(_pack(digest[keep][own], np.diff(change, append=hi - lo), grams[lo:hi]))
                 yield pa.RecordBatch.from_arrays([pa.array(fs, pa.int32()), pa.array(blobs, pa.binary())], names=["f", "blob"])
 
     return run
 
 
+def _group(ent: np.ndarray, groups: int) -> np.ndarray:
+    return (ent >> np.uint64(20)) % np.uint64(groups)
+
+
 def _frequencies(groups: int):
-    """Fragments -> (g, blob): n-grams that several entities share, with their frequency, by entity group."""
+    """Fragments -> (g, f, blob): n-grams that several entities share, with their rank, by entity group.
 
-    def shared(f: int, blobs: list[bytes]) -> np.ndarray:
-        parts = [_unpack(x) for x in blobs]
-        ent = np.concatenate([np.repeat(e, c) for e, _, c, _ in parts])
-        size = np.concatenate([np.repeat(s, c) for _, s, c, _ in parts])
-        gram = np.concatenate([g for _, _, _, g in parts])
+    An n-gram's rank is its exact frequency on a scale of 8 steps an octave, in a byte: any order that is
+    the same for all sets will do.
+    """
+
+    def shared(ent: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(gram, kind="stable")
         g = gram[order]
         # An n-gram that occurs once needs no more work: most stop here.
@@ -130,18 +140,17 @@ def _frequencies(groups: int):
         twice[1:] = g[1:] == g[:-1]
         twice[:-1] |= twice[1:]
         order = order[twice]
-        ent, size, gram = ent[order], size[order], gram[order]
+        ent, gram = ent[order], gram[order]
         order = np.lexsort((ent, gram))
-        ent, size, gram = ent[order], size[order], gram[order]
+        ent, gram = ent[order], gram[order]
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (ent[1:] != ent[:-1])
-        ent, size, gram = ent[new], size[new], gram[new]
+        ent, gram = ent[new], gram[new]
         start = np.flatnonzero(np.diff(gram, prepend=~gram[:1])) if len(gram) else np.zeros(0, np.int64)
         runs = np.diff(start, append=len(gram))
         df = np.repeat(runs, runs)
-        out = np.zeros(len(gram), _SHARED)
-        out["ent"], out["n"], out["df"], out["gram"] = ent, size, np.minimum(df, 2**32 - 1), gram | np.uint64(f % 2**16) << np.uint64(48)
-        return out[df > 1]
+        several = df > 1
+        return ent[several], gram[several], np.minimum(8 * np.log2(df[several]), 255).astype(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -149,38 +158,74 @@ def _frequencies(groups: int):
             for f, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.setdefault(f, []).append(blob)
         for f in sorted(held):
-            rows = shared(f, held.pop(f))
-            g = (rows["ent"] >> np.uint64(20)) % np.uint64(groups)
-            order = np.argsort(g, kind="stable")
-            rows, g = rows[order], g[order]
+            parts = [_unpack(x) for x in held.pop(f)]
+            ents, grams = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            del parts
+            which = V.mix(grams) % np.uint64(SLICES)
+            found = [shared(ents[own], grams[own]) for own in (which == i for i in range(SLICES))]
+            del ents, grams, which
+            ent, gram, rank = (np.concatenate(x) for x in zip(*found, strict=True))
+            g = _group(ent, groups)
+            order = np.lexsort((gram, ent, g))
+            ent, gram, rank, g = ent[order], gram[order], rank[order], g[order]
             cuts = np.searchsorted(g, np.arange(groups + 1))
             which = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in which], pa.binary())], names=["g", "blob"])
+            blobs = []
+            for lo, hi in zip(cuts[which], cuts[which + 1], strict=True):
+                start = np.flatnonzero(np.diff(ent[lo:hi], prepend=~ent[lo : lo + 1]))
+                blobs.append(_pack(ent[lo:hi][start], np.diff(start, append=hi - lo), gram[lo:hi]) + rank[lo:hi].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([f] * len(which), pa.int32()), pa.array(blobs, pa.binary())], names=["g", "f", "blob"])
 
     return run
 
 
-_SHARED = np.dtype([("ent", np.uint64), ("gram", np.uint64), ("n", np.uint32), ("df", np.uint32)])
+_SIZE = np.dtype([("ent", np.uint64), ("n", np.uint32)])
+
+
+def _set_sizes(groups: int):
+    """(ent, n) rows -> (g, f, blob): the sizes of sets by entity group, under f = -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.zeros(b.num_rows, _SIZE)
+            rows["ent"], rows["n"] = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
+            rows = rows[np.unique(rows["ent"], return_index=True)[1]]
+            g = _group(rows["ent"], groups)
+            rows, g = rows[np.argsort(g, kind="stable")], np.sort(g)
+            cuts = np.searchsorted(g, np.arange(groups + 1))
+            which = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([-1] * len(which), pa.int32()), pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in which], pa.binary())], names=["g", "f", "blob"])
+
+    return run
 
 
 def _prefixes(percent: int):
     """Entity groups -> entities that may have a partner: their shared prefix n-grams and all shared ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, _SHARED) for b in batches for x in b.column(1).to_pylist()]
-        rows = np.concatenate(held) if held else np.zeros(0, _SHARED)
-        del held
-        rows = rows[np.lexsort((rows["gram"], rows["df"], rows["ent"]))]
-        start = np.flatnonzero(np.diff(rows["ent"], prepend=~rows["ent"][:1])) if len(rows) else np.zeros(0, np.int64)
+        ents, all_grams, ranks, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, _SIZE)]
+        for b in batches:
+            for f, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if f < 0:
+                    sizes.append(np.frombuffer(blob, _SIZE))
+                    continue
+                ent, gram, rank = _unpack(blob)
+                ents.append(ent), all_grams.append(gram | np.uint64(f % 2**16) << np.uint64(48)), ranks.append(np.frombuffer(rank, np.uint8))
+        ent, gram, rank, size = np.concatenate(ents), np.concatenate(all_grams), np.concatenate(ranks), np.concatenate(sizes)
+        del ents, all_grams, ranks, sizes
+        order = np.lexsort((gram, rank, ent))
+        ent, gram = ent[order], gram[order]
+        size = size[np.unique(size["ent"], return_index=True)[1]]
+        start = np.flatnonzero(np.diff(ent, prepend=~ent[:1])) if len(ent) else np.zeros(0, np.int64)
+        n_of = size["n"][np.searchsorted(size["ent"], ent[start])]
         out = [[], [], [], [], []]
-        bounds = np.append(start, len(rows)).astype(np.int64)
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            n, shared = int(rows["n"][lo]), int(hi - lo)
+        for lo, hi, n in zip(start, np.append(start, len(ent))[1:], n_of.tolist(), strict=True):
+            shared = int(hi - lo)
             need = -(-percent * n // 100)
             if shared < need:
                 continue
-            grams = rows["gram"][lo:hi]
-            for col, x in zip(out, (rows["ent"][lo : lo + 1].view(np.int64)[0], n, n - shared, grams[: shared - need + 1].view(np.int64).tolist(), np.sort(grams).tobytes()), strict=True):
+            grams = gram[lo:hi]
+            for col, x in zip(out, (ent[lo : lo + 1].view(np.int64)[0], n, n - shared, grams[: shared - need + 1].view(np.int64).tolist(), np.sort(grams).tobytes()), strict=True):
                 col.append(x)
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["ent", "n", "own", "prefix", "grams"])
@@ -305,15 +350,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bo
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sizes = rows.mapInArrow(_sizes(n, lower), "doc_id long, n_shingles long, ent long")
+    sizes = stash(rows.mapInArrow(_sizes(n, lower), "doc_id long, n_shingles long, ent long"), "sizes")
+    real = sizes.where("n_shingles > 0")
     parts = shuffle_partitions(spark)
-    fragments = SPREAD * parts
-    segments = rows.select("text").mapInArrow(_segments(n, lower, fragments), "f int, blob binary").repartition(parts, "f")
-    shared = segments.mapInArrow(_frequencies(parts), "g int, blob binary").repartition(parts, "g")
+    # One fragment to a partition: the more fragments, the more often an entity is named in them.
+    segments = rows.select("text").mapInArrow(_segments(n, lower, parts), "f int, blob binary").repartitionById(parts, "f")
+    shared = segments.mapInArrow(_frequencies(parts), "g int, f int, blob binary")
+    shared = shared.unionByName(real.select("ent", "n_shingles").mapInArrow(_set_sizes(parts), "g int, f int, blob binary")).repartitionById(parts, "g")
     entities = stash(shared.mapInArrow(_prefixes(percent), "ent long, n int, own int, prefix array<long>, grams binary"), "entities")
     roots = stash(components(links(entities, percent)), "roots")
-    sizes = stash(sizes, "sizes")
-    real = sizes.where("n_shingles > 0")
     first = real.groupBy("ent").agg(F.min("doc_id").alias("first"))
     tagged = first.join(roots, F.col("ent") == F.col("node"), "left").withColumn("root", F.coalesce("root", "ent"))
     lowest = tagged.where("node is not null").groupBy(F.col("root").alias("r")).agg(F.min("first").alias("low"))
