@@ -253,6 +253,10 @@ def test_secrets(spark, docs, empty):
     assert [(r.doc_id, r.at) for r in found] == [(43, 2)]
     clean = secrets.redact(docs, model).where("doc_id = 43").first().text
     assert clean == 'password = "[SECRET]"'
+    line = "set user=a;password=83fe01c9d2b74a6e5f;token=Zk8Qw2Lr7Vt3Nx9Bd4Hs6Jm1 then HJQT5WQRA3SUPDT7FIYW by mail7.example.com"
+    one = spark.createDataFrame([(1, line)], "doc_id long, text string")
+    assert [(r.at, r.part, r.candidate[:4], r.is_secret) for r in secrets.scan(one, model).orderBy("at", "part").collect()] == [(1, 0, "83fe", True), (1, 1, "Zk8Q", True), (3, 0, "HJQT", True), (5, 0, "mail", False)]
+    assert secrets.redact(one, model).first().text == "set user=a;password=[SECRET];token=[SECRET] then [SECRET] by mail7.example.com"
     assert secrets.scan(empty, model).count() == 0
 
 

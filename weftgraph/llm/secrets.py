@@ -14,8 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate inside a word: at least 16 token characters, one of them a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*[0-9])[A-Za-z0-9+/_=.-]{16,}"
+#: A candidate inside a word: at least 16 token characters, one of them a digit, with base64's padding.
+#: '=' and ':' are no token characters, so that an assigned value stands alone and its name before it.
+CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
 #: Short dictionary: words whose presence speaks for a name rather than a random token.
 WORDS = ["the", "and", "for", "with", "that", "this", "from", "test", "example", "sample", "user", "name", "file", "data", "value", "version", "build", "release", "image", "model", "page", "index", "config", "local", "server", "client", "http", "www", "com", "org", "html", "json", "item", "list", "order", "number", "date", "time", "line", "block", "part", "section", "chapter", "figure", "table"]
 #: Words before a candidate that name a secret, and words that name something else.
@@ -28,10 +29,11 @@ MAX_TRAINING = 50_000
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """(doc_id, at, candidate, before, after, path), one row per word with a candidate.
+    """(doc_id, at, part, candidate, before, after, path), one row per candidate.
 
-    `at` is the word's place in the text, words being runs without white space; before holds the three
-    words before it, with what precedes the candidate in its own word, and after what follows.
+    `at` is the word's place in the text, words being runs without white space, and `part` counts the
+    candidates of one word; before holds the three words before it, with what stands between the
+    candidate and the start of its own word or the candidate before it, and after what follows.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
     words = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+")
@@ -39,11 +41,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = F.expr("filter(transform(w, (x, i) -> struct(i as at, x as word)), x -> length(x.word) >= 16)")
     rows = rows.withColumn("hits", F.filter(found, lambda x: F.rlike(x["word"], F.lit(CANDIDATE))))
     each = rows.where("size(hits) > 0").select("doc_id", "path", F.explode_outer(F.expr("transform(hits, x -> struct(x.at as at, x.word as word, array_join(slice(w, greatest(x.at - 2, 1), least(x.at, 3)), ' ') as lead, coalesce(get(w, x.at + 1), '') as next))")).alias("h"))
-    token = F.regexp_extract("h.word", CANDIDATE, 0)
-    place = F.instr("h.word", token)
-    before = F.concat_ws(" ", "h.lead", F.substring("h.word", F.lit(1), place - 1))
-    after = F.concat_ws(" ", F.substring("h.word", place + F.length(token), F.lit(200)), "h.next")
-    return each.select("doc_id", F.col("h.at").alias("at"), token.alias("candidate"), before.alias("before"), after.alias("after"), "path")
+    tokens = F.regexp_extract_all("h.word", F.lit(CANDIDATE), F.lit(0))
+    each = each.select("doc_id", "path", "h", F.split("h.word", CANDIDATE).alias("between"), F.posexplode(tokens).alias("part", "candidate"))
+    before = F.concat_ws(" ", "h.lead", F.get("between", F.col("part")))
+    after = F.concat_ws(" ", F.substring(F.get("between", F.col("part") + 1), 1, 200), "h.next")
+    return each.select("doc_id", F.col("h.at").alias("at"), "part", "candidate", before.alias("before"), after.alias("after"), "path")
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -76,9 +78,10 @@ def features(found: DataFrame) -> DataFrame:
 def synthetic_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> DataFrame:
     """Labelled findings made by rule: (candidate, before, after, path, label), half of them secrets.
 
-    Secrets are random tokens in hex, base64 or mixed letters that are assigned to a secret's name, or
-    stand alone after one. The others are digests, ids, numbers, names with digits, and placeholders,
-    some of them next to a secret's name or assigned.
+    Secrets are random tokens of 16 to 48 characters in hex, base64, capitals with digits (a key id with
+    its prefix) or mixed letters, assigned to a secret's name or following one; two in five of those that
+    are not hex stand alone. The others are digests, ids, numbers, host names, names with digits in small
+    or capital letters, and placeholders, some of them next to a secret's name or assigned.
     """
 
     def pick(options: list[str], salt: int) -> Column:
@@ -89,12 +92,18 @@ def synthetic_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> Dat
     words = [F.element_at(F.array(*(F.lit(x) for x in WORDS)), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(len(WORDS))).cast("int") + 1) for i in range(4)]
     number = F.format_string("%d", F.pmod(F.xxhash64("id", F.lit("n")), F.lit(10**15)) + 10**15)
     kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(4))
-    secret = F.when(kind == 0, F.substring(h, 1, 40)).when(kind == 1, F.substring(b64, 1, 44)).when(kind == 2, F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16)))).otherwise(F.substring(h, 1, 32))
+    size = F.lit(16) + F.pmod(F.xxhash64("id", F.lit("size")), F.lit(33)).cast("int")
+    capitals = F.translate(F.substring(h, 1, 16), "0123456789abcdef", "QW2RT5YUIPAS3DF7")
+    prefix = F.substring(F.translate(F.substring(h, 100, 4), "0123456789abcdef", "GHJKAZXCVBNMLOSI"), 1, 4)
+    secret = F.when(kind == 0, F.substring(h, F.lit(1), size)).when(kind == 1, F.substring(b64, F.lit(1), size)).when(kind == 2, F.concat(prefix, capitals)).otherwise(F.substring(F.translate(b64, "+/", "xk"), F.lit(20), size))
+    alone = (kind > 0) & (F.pmod(F.xxhash64("id", F.lit("alone")), F.lit(5)) < 2)
     key = pick(["token", "secret", "password", "api_key", "access_key", "private_key", "auth_token", "credential"], 1)
     assign = pick([' = "', "=", ": ", ' : "', " = '", " "], 2)
     noise = pick(["sha256", "commit", "checksum", "uuid", "order", "card", "version", "digest"], 3)
     uuid = F.regexp_replace(F.substring(h, 1, 32), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
     named = F.concat_ws("_", words[0], words[1], words[2], F.substring(number, 1, 3))
+    host = F.concat_ws(".", F.concat(words[0], F.substring(number, 1, 1)), words[1], pick(["com", "org", "net", "example.com"], 9))
+    named = F.when(F.col("id") % 4 == 0, F.upper(named)).when(F.col("id") % 4 == 1, F.rpad(host, 16, "s")).otherwise(named)
     filler = F.concat(F.repeat(pick(["x", "0", "ab", "*"], 4), F.lit(16)), F.lit("1234"))
     other = F.when(kind == 0, F.substring(h, 1, 40)).when(kind == 1, F.when(F.col("id") % 3 == 0, uuid).otherwise(number)).when(kind == 2, named).otherwise(F.when(F.col("id") % 2 == 0, filler).otherwise(F.concat(words[3], F.lit("-"), named)))
     other_before = F.when(kind == 0, F.concat(noise, assign)).when((kind == 2) | (kind == 3), F.concat(F.when(F.col("id") % 5 < 2, key).otherwise(words[0]), assign)).otherwise(F.concat(noise, F.lit(" ")))
@@ -102,7 +111,7 @@ def synthetic_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> Dat
     lead = F.concat_ws(" ", words[1], words[2])
     return spark.range(n).select(
         F.when(label == 1, secret).otherwise(other).alias("candidate"),
-        F.concat_ws(" ", lead, F.when(label == 1, F.concat(key, assign)).otherwise(other_before)).alias("before"),
+        F.concat_ws(" ", lead, F.when((label == 1) & alone, words[3]).when(label == 1, F.concat(key, assign)).otherwise(other_before)).alias("before"),
         F.concat_ws(" ", pick(['"', "", "'", ","], 6), words[3]).alias("after"),
         F.when(F.pmod(F.xxhash64("id", F.lit("path")), F.lit(10)) < F.when(label == 1, 1).otherwise(4), pick(["tests/data.py", "docs/example.md", "vendor/x.lock"], 7)).otherwise(pick(["", "src/app.py", "deploy/env", "web"], 8)).alias("path"),
         label.cast("double").alias("label"),
@@ -122,21 +131,21 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11,
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """(doc_id, at, candidate, before, after, path, score, is_secret), one row per candidate.
+    """(doc_id, at, part, candidate, before, after, path, score, is_secret), one row per candidate.
 
     score is the forest's probability of a secret, is_secret score >= threshold. Null, empty and blank
-    texts have no candidates; repeated rows give their findings each; of several candidates in one word
-    the first counts. Extra columns are ignored, a missing path is empty.
+    texts have no candidates; repeated rows give their findings each, and so does each candidate of one
+    word. Extra columns are ignored, a missing path is empty.
     """
     found = features(candidates(docs, id_col, text_col, path_col))
     scored = PipelineModel([VectorAssembler(inputCols=FEATURES, outputCol="features"), model]).transform(found)
     score = F.round(F.element_at(vector_to_array("probability"), 2), 6)
-    return scored.select("doc_id", "at", "candidate", "before", "after", "path", score.alias("score"), (score >= threshold).alias("is_secret"))
+    return scored.select("doc_id", "at", "part", "candidate", "before", "after", "path", score.alias("score"), (score >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """The input rows with every found secret replaced in their texts; rows of one id share their findings."""
-    found = scan(docs, model, threshold, id_col, text_col, path_col).where("is_secret").groupBy(F.col("doc_id").alias("f")).agg(F.array_sort(F.collect_set("candidate")).alias("found"))
+    found = scan(docs, model, threshold, id_col, text_col, path_col).where("is_secret").groupBy(F.col("doc_id").alias("f")).agg(F.sort_array(F.collect_set(F.struct(F.length("candidate").alias("n"), F.col("candidate").alias("c"))), asc=False)["c"].alias("found"))
     joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("f")), "left")
     clean = F.expr(f"aggregate(coalesce(found, cast(array() as array<string>)), `{text_col}`, (t, x) -> replace(t, x, '{mask}'))")
     return joined.withColumn(text_col, clean).select(*docs.columns)
