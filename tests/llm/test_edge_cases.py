@@ -88,7 +88,11 @@ def test_blocks_and_pairs_find_what_hubs_miss(spark, monkeypatch):
         assert {r.component_id for r in ngram_join.jaccard_components(chain, n=4, percent=85).collect()} == {0}
 
 
-def test_substring_dedup(docs, empty):
+@pytest.mark.parametrize(("least", "most"), [(2000, 64), (2, 64), (2, 1), (1, 10**6)])
+def test_substring_dedup(docs, empty, monkeypatch, least, most):
+    """Few, some and all minimisers that repeat are hot."""
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
+    monkeypatch.setattr(substring_dedup, "HOT_MOST", most)
     k, rows = 35, corpus()
     words = [WORD.findall(r[1] or "") for r in rows]
     seen = collections.Counter(tuple(w[i : i + k]) for w in words for i in range(len(w) - k + 1))

@@ -8,7 +8,11 @@ light pass counts them and its result, a bitmap of fixed size, keeps their super
 super-k-mers of a block of texts travel once with their number, so a passage that many texts share
 doesn't fill its bucket; the bucket's verdict comes back by the digest of the packed string.
 
-A word's code is a 64-bit hash; windows are equal if all their codes are.
+A passage that a large part of all texts holds still has as many surroundings as texts, all with its
+minimisers. The first pass finds these: super-k-mers of the most frequent minimisers travel as 128-bit
+digests of their windows, counted in the task that reads the texts and dealt over all buckets.
+
+A word's code is a 64-bit hash; windows are equal if all their codes (there: their digests) are.
 """
 
 from __future__ import annotations
@@ -28,6 +32,11 @@ from .util import shuffle_partitions, stash
 M = 8
 #: log2 of the bitmap's bits: 16 MB, whatever the input. A fuller bitmap only keeps less at home.
 BITMAP_LOG2 = 27
+#: A minimiser of more than HOT_LEAST places is dealt over all buckets if it is among the HOT_MOST most
+#: frequent of its range; there is a range per shuffle partition, so that bounds their list.
+HOT_LEAST, HOT_MOST = 2000, 64
+#: Digests of windows that a task holds to count them before they travel.
+HELD = 500_000
 #: Word codes that a bucket task works on at once, beyond which it goes minimiser by minimiser.
 BUCKET_WORDS = 4_000_000
 _R = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
@@ -97,68 +106,131 @@ def _each(texts: pa.Array):
 
 
 def _minimisers(k: int, parts: int):
-    """Texts -> (p, blob): minimisers of a block by range, each once, with a mark if it came twice."""
+    """Texts -> (p, blob, more): minimisers of a block by range, listed up to twice; more holds (value, further places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([2**64 * i // parts for i in range(1, parts)], np.uint64)
         for b in batches:
             for _, _, words in _each(b.column(0)):
                 value, count = np.unique(_minimiser_places(words, k), return_counts=True)
+                more = np.stack([value, (count - 2).astype(np.uint64)], 1)[count > 2]
                 value = np.concatenate([value, value[count > 1]])
                 value.sort()
-                edges = np.array([2**64 * i // parts for i in range(1, parts)], np.uint64)
-                cuts = [0, *np.searchsorted(value, edges), len(value)]
-                rows = [(i, value[a:z].tobytes()) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["p", "blob"])
+                cuts, more_cuts = ([0, *np.searchsorted(x, edges), len(x)] for x in (value, more[:, 0]))
+                rows = [(i, value[cuts[i] : cuts[i + 1]].tobytes(), more[more_cuts[i] : more_cuts[i + 1]].tobytes()) for i in np.flatnonzero(np.diff(cuts))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], x) for j, x in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["p", "blob", "more"])
 
     return run
 
 
-def _repeated_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Minimisers of some ranges -> bytes of the bitmap that have bits: (byte, value) packed."""
-    held = [np.frombuffer(x, np.uint64) for b in batches for x in b.column(1).to_pylist()]
-    value = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-    slots = np.unique(value[1:][value[1:] == value[:-1]] >> np.uint64(64 - BITMAP_LOG2)).astype(np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array([slots.tobytes()], pa.binary())], names=["slots"])
+def _repeated_slots(least: int, most: int):
+    """Minimisers of some ranges -> bytes of the bitmap that have bits, and the values that are hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, more = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.uint64)]
+        for b in batches:
+            held += [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            more += [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in b.column(2).to_pylist()]
+        value = np.concatenate(held)
+        value.sort()
+        start = np.flatnonzero(np.diff(value, prepend=~value[:1]))
+        places = np.diff(start, append=len(value))
+        start, places = start[places > 1], places[places > 1]
+        value, extra = value[start], np.concatenate(more)
+        slots = np.unique(value >> np.uint64(64 - BITMAP_LOG2)).astype(np.uint32)
+        np.add.at(places, np.searchsorted(value, extra[:, 0]), extra[:, 1].astype(np.int64))
+        many = np.flatnonzero(places > least)
+        hot = value[many[np.argsort(-places[many], kind="stable")[:most]]]
+        yield pa.RecordBatch.from_arrays([pa.array([slots.tobytes()], pa.binary()), pa.array([hot.tobytes()], pa.binary())], names=["slots", "hot"])
+
+    return run
 
 
-def _bitmap(texts: DataFrame, k: int) -> bytes:
-    """One bit per slot of the minimiser range: some minimiser there occurs at least twice.
+def _known(texts: DataFrame, k: int) -> tuple[bytes, bytes]:
+    """(bitmap, hot minimisers). A bit per slot of the minimiser range: some minimiser there occurs twice or more.
 
-    Slots come to the driver one partition at a time; at most 2^BITMAP_LOG2 of them, whatever the input.
+    Slots come to the driver one partition at a time; at most 2^BITMAP_LOG2 of them, whatever the input,
+    and HOT_MOST values with them.
     """
     parts = shuffle_partitions(texts.sparkSession)
-    rows = texts.mapInArrow(_minimisers(k, parts), "p int, blob binary").repartition(parts, "p").mapInArrow(_repeated_slots, "slots binary")
-    bits = np.zeros(2**BITMAP_LOG2 // 8, np.uint8)
+    rows = texts.mapInArrow(_minimisers(k, parts), "p int, blob binary, more binary").repartition(parts, "p").mapInArrow(_repeated_slots(HOT_LEAST, HOT_MOST), "slots binary, hot binary")
+    bits, hot = np.zeros(2**BITMAP_LOG2 // 8, np.uint8), [np.zeros(0, np.uint64)]
     for r in rows.toLocalIterator(prefetchPartitions=True):
         slots = np.frombuffer(r["slots"], np.uint32)
         np.bitwise_or.at(bits, slots >> 3, np.uint8(1) << (slots & 7).astype(np.uint8))
-    return bits.tobytes()
+        hot.append(np.frombuffer(r["hot"], np.uint64))
+    return bits.tobytes(), np.sort(np.concatenate(hot)).tobytes()
+
 
+def _sent(words: np.ndarray, first: np.ndarray, k: int, known) -> tuple[np.ndarray, ...]:
+    """(text, first word, windows, minimiser, hot) of super-k-mers that may hold a repeated window.
 
-def _marked(bitmap, low: np.ndarray) -> np.ndarray:
-    bits = np.frombuffer(bitmap.value, np.uint8)
+    One of a hot minimiser is cut into its windows.
+    """
+    text, begin, n, low = _super_kmers(words, first, k)
+    bits, values = (np.frombuffer(x, t) for x, t in zip(known.value, (np.uint8, np.uint64), strict=True))
     slot = (low >> np.uint64(64 - BITMAP_LOG2)).astype(np.int64)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+    keep = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+    text, begin, n, low = text[keep], begin[keep], n[keep], low[keep]
+    hot = np.isin(low, values)
+    times = np.where(hot, n, 1)
+    at = np.repeat(np.arange(len(n)), times)
+    step = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    return text[at], begin[at] + step, np.where(hot, 1, n)[at], low[at], hot[at]
+
+
+def _tally(d1: np.ndarray, d2: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal digests once, with the sum of their times."""
+    order = np.lexsort((d2, d1))
+    d1, d2 = d1[order], d2[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+    total = np.concatenate([[0], np.cumsum(times[order])])
+    at = np.flatnonzero(new)
+    return d1[at], d2[at], np.diff(total[np.append(at, len(order))])
+
+
+def _packed(k: int, known):
+    """Texts -> super-k-mers that may hold a repeated window, each once per block, with their number.
+
+    Windows of hot minimisers have no codes, their first digest in the minimiser's place, and are counted
+    over all blocks of the task as far as HELD allows.
+    """
 
+    def batch(mini: np.ndarray, d1: np.ndarray, d2: np.ndarray, times: np.ndarray, codes: list[bytes]) -> pa.RecordBatch:
+        arrays = [*(pa.array(x.view(np.int64)) for x in (mini, d1, d2)), pa.array(times, pa.int64()), pa.array(codes, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["minimiser", "d1", "d2", "times", "codes"])
 
-def _packed(k: int, bitmap):
-    """Texts -> super-k-mers that may hold a repeated window, each once per block, with their number."""
+    def counted(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        return _tally(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             for _, first, words in _each(b.column(0)):
-                _, begin, n, low = _super_kmers(words, first, k)
-                keep = np.flatnonzero(_marked(bitmap, low))
-                begin, size, low = begin[keep], n[keep] + k - 1, low[keep]
+                _, begin, n, low, hot = _sent(words, first, k, known)
+                size = n + k - 1
                 d1, d2 = _digests(words, begin, size)
-                order = np.lexsort((d2, d1))
+                if hot.any():
+                    held.append((d1[hot], d2[hot], np.ones(int(hot.sum()), np.int64)))
+                    if sum(len(x[0]) for x in held) > 2 * HELD:
+                        held = [counted(held)]
+                    if len(held[0][0]) > HELD:
+                        yield batch(held[0][0], *held[0], [b""] * len(held[0][0]))
+                        held = held[1:]
+                order = np.flatnonzero(~hot)
+                order = order[np.lexsort((d2[order], d1[order]))]
                 new = np.ones(len(order), bool)
                 new[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
                 at = np.flatnonzero(new)
                 own = order[at]
                 codes = [words[i : i + s].tobytes() for i, s in zip(begin[own], size[own], strict=True)]
-                arrays = [pa.array(low[own].view(np.int64)), pa.array(d1[own].view(np.int64)), pa.array(d2[own].view(np.int64)), pa.array(np.diff(at, append=len(order)), pa.int64()), pa.array(codes, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["minimiser", "d1", "d2", "times", "codes"])
+                yield batch(low[own], d1[own], d2[own], np.diff(at, append=len(order)), codes)
+        if held:
+            d1, d2, times = counted(held)
+            for i in range(0, len(d1), HELD // 10):
+                cut = slice(i, i + HELD // 10)
+                yield batch(d1[cut], d1[cut], d2[cut], times[cut], [b""] * len(d1[cut]))
 
     return run
 
@@ -206,6 +278,16 @@ def _buckets(k: int):
         if not held:
             return
         t = pa.concat_tables(held)
+        del held
+        blank = pa.compute.equal(pa.compute.binary_length(t["codes"]), 0)
+        hot, t = t.filter(blank), t.filter(pa.compute.invert(blank))
+        if hot.num_rows:
+            d1, d2, times = _tally(*(hot[c].to_numpy() for c in ("d1", "d2", "times")))
+            again = times > 1
+            whole = np.array([0, k], np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(d1[again]), pa.array(d2[again]), pa.array([whole] * int(again.sum()), pa.binary())], names=["m1", "m2", "ranges"])
+        if not t.num_rows:
+            return
         mini = t["minimiser"].to_numpy().view(np.uint64)
         d1, d2, times = (t[c].to_numpy() for c in ("d1", "d2", "times"))
         order = np.argsort(mini, kind="stable")
@@ -232,15 +314,13 @@ def _buckets(k: int):
     return run
 
 
-def _references(k: int, bitmap):
-    """Rows -> where each super-k-mer that was sent stands."""
+def _references(k: int, known):
+    """Rows -> where each super-k-mer or window that was sent stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, first, words in _each(b.column(2)):
-                text, begin, n, low = _super_kmers(words, first, k)
-                keep = np.flatnonzero(_marked(bitmap, low))
-                text, begin, n = text[keep], begin[keep], n[keep]
+                text, begin, n, _, _ = _sent(words, first, k, known)
                 d1, d2 = _digests(words, begin, n + k - 1)
                 take = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array((begin - first[text]).astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["r1", "r2", "at", "d1", "d2"])
@@ -288,11 +368,11 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = shuffle_partitions(spark)
-    bitmap = spark.sparkContext.broadcast(_bitmap(rows.select("text"), k))
-    packed = rows.select("text").mapInArrow(_packed(k, bitmap), "minimiser long, d1 long, d2 long, times long, codes binary")
+    known = spark.sparkContext.broadcast(_known(rows.select("text"), k))  # 16 MB, and 512 bytes a partition
+    packed = rows.select("text").mapInArrow(_packed(k, known), "minimiser long, d1 long, d2 long, times long, codes binary")
     repeated = stash(packed.repartition(parts, "minimiser").mapInArrow(_buckets(k), "m1 long, m2 long, ranges binary"), "repeated")
     keyed = rows.withColumn("r1", F.xxhash64("doc_id", "text")).withColumn("r2", F.hash("text", "doc_id"))
-    refs = keyed.select("r1", "r2", "text").mapInArrow(_references(k, bitmap), "r1 long, r2 int, at int, d1 long, d2 long")
+    refs = keyed.select("r1", "r2", "text").mapInArrow(_references(k, known), "r1 long, r2 int, at int, d1 long, d2 long")
     hits = refs.join(repeated, (F.col("d1") == F.col("m1")) & (F.col("d2") == F.col("m2"))).groupBy(F.col("r1").alias("h1"), F.col("r2").alias("h2")).agg(F.collect_set(F.struct("at", "ranges")).alias("hits"))
     joined = keyed.join(hits, (F.col("r1") == F.col("h1")) & (F.col("r2") == F.col("h2")), "left").select("doc_id", "text", "hits")
     id_type = docs.schema[id_col].dataType.simpleString()
