@@ -170,6 +170,8 @@ def test_token_counts(spark, docs, empty, tmp_path, name):
     texts = {r[1] or "" for r in corpus()}
     assert stored < spark.read.parquet(cache).select("digest").distinct().count() == len(texts) == spark.read.parquet(cache).count()
     assert token_counts.token_counts(empty, tokenizer, cache).count() == 0
+    spark.read.parquet(cache).drop("version").coalesce(1).write.mode("append").parquet(f"{cache}/version={tokenizer.version}")
+    assert sorted((tuple(r) for r in token_counts.token_counts(docs, tokenizer, cache).collect()), key=repr) == want
 
 
 def test_sharding(spark, docs, empty):

@@ -103,7 +103,8 @@ def token_counts(docs: DataFrame, tokenizer: TokenizerFile, cache: str, limit: i
     # Rows that repeat an id and a text are encoded twice and stored once.
     counted = todo.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long").groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     counted.write.mode("append").parquet(path)
-    cached = _read_cache(spark, path).withColumnRenamed("digest", "d")
+    # Runs that overlap may both store a digest: one row of each counts.
+    cached = _read_cache(spark, path).groupBy(F.col("digest").alias("d")).agg(F.first("n_tokens").alias("n_tokens"))
     sized = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return sized.join(cached, F.col("digest") == F.col("d")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
