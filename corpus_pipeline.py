@@ -31,9 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share the smallest id of their class all stay.
     """
     docs = docs.select(*COLUMNS)
-    classes = ngram_join.jaccard_components(docs, n=5, percent=80)
-    gone = classes.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("g")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g")), "left_anti").select(*COLUMNS)
+    classes = ngram_join.jaccard_components(docs, n=5, percent=80, with_row=True)
+    gone = classes.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("g"), "row").distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g")) & (F.xxhash64("text") == F.col("row")), "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

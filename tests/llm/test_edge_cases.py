@@ -284,3 +284,13 @@ def test_pipeline_stages(spark, docs, empty, items, tmp_path):
             if start is docs and name == "benchmark decontamination":
                 assert 30 not in {r.doc_id for r in now.collect()}
         assert (now.count() > 0) == (start is docs)
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    def prose(k):
+        return " ".join(f"w{k}x{i}" for i in range(60))
+
+    rows = [(1, prose(0)), (None, prose(0)), (None, prose(1)), (5, prose(0)), (5, prose(2)), (7, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=repr) == sorted([(1, prose(0)), (None, prose(1)), (5, prose(2)), (7, None), (None, None)], key=repr)

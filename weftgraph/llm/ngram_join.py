@@ -55,11 +55,12 @@ def _sizes(n: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, ent = [], []
-            for _, sets, digest in _sets(b.column(1), n, lower):
+            for _, sets, digest in _sets(b.column("text"), n, lower):
                 size += [len(s) for s in sets]
                 ent.append(digest.view(np.int64))
             ents = np.concatenate(ent) if ent else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(ents)], names=["doc_id", "n_shingles", "ent"])
+            own = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(size, pa.int64()), pa.array(ents)], names=[*own, "n_shingles", "ent"])
 
     return run
 
@@ -338,9 +339,11 @@ def _open_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.join(per.select("k", "size", "hub"), F.col("gram") == F.col("k")).drop("k")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
     """Near-duplicate classes: one row (doc_id, n_shingles, component_id) per input row.
 
+    `with_row` adds row, the hash of the text, which tells rows with one id apart.
+
     A row's set holds its distinct n-word shingles (words are runs without white space; `lower` folds
     A-Z; fewer words than n: the whole sequence is one). Rows are linked when 100 * |intersection| >=
     percent * |union|; component_id is the smallest id that links reach. A null, empty or blank text has
@@ -349,8 +352,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bo
     isn't null, if any. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sizes = stash(rows.mapInArrow(_sizes(n, lower), "doc_id long, n_shingles long, ent long"), "sizes")
+    row = [F.xxhash64(text_col).alias("row")] if with_row else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row, F.col(text_col).cast("string").alias("text"))
+    sizes = stash(rows.mapInArrow(_sizes(n, lower), f"doc_id long, {'row long, ' * with_row}n_shingles long, ent long"), "sizes")
     real = sizes.where("n_shingles > 0")
     parts = shuffle_partitions(spark)
     # One fragment to a partition: the more fragments, the more often an entity is named in them.
@@ -364,4 +368,4 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bo
     lowest = tagged.where("node is not null").groupBy(F.col("root").alias("r")).agg(F.min("first").alias("low"))
     classes = stash(tagged.join(lowest, F.col("root") == F.col("r"), "left").select(F.col("ent").alias("e"), F.coalesce("low", "first").alias("component_id")), "classes")
     out = sizes.join(classes, (F.col("ent") == F.col("e")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", *["row"] * with_row, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
