@@ -247,6 +247,21 @@ def test_calibration_limits_false_rejection(spark):
     assert sum(not r.kept for r in good) <= 0.02 * len(good) and not any(r.kept for r in junk)
 
 
+def test_small_strata_are_calibrated(spark):
+    """300 good texts of a language are enough; 150 can't promise the rate and give no rule."""
+    rnd = random.Random(2)
+    rows, labels = [], []
+    for lang, good, junk in (("en", 2000, 40), ("es", 300, 40), ("it", 150, 40)):
+        for i in range(good + junk):
+            w = ["".join(rnd.choice("abcdefghij") for _ in range(7)) + ("###" if i >= good else "") for _ in range(60)]
+            rows.append((len(rows), " ".join(w), lang, i >= good))
+            labels.append((len(labels), int(i < good)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, junk boolean")
+    out = quality.judge(table.drop("junk"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    kept = collections.Counter((r.stratum, rows[r.doc_id][3]) for r in out if r.kept)
+    assert kept == {("en", False): 2000, ("es", False): 300, ("it", False): 150, ("it", True): 40}
+
+
 def test_secrets(spark, docs, empty):
     made = secrets.synthetic_findings(spark)
     model = secrets.train(made)
