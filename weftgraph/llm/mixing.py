@@ -122,7 +122,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     are taken alike. Reruns agree. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    names = F.col(members) if members else F.array(F.col(source_col).cast("string"))
+    # A null array is one that holds the null source.
+    names = F.coalesce(F.col(members).cast("array<string>"), F.array(F.lit(None).cast("string"))) if members else F.array(F.col(source_col).cast("string"))
     # Null can't be a map key or joined by equality, so a pattern is the JSON string of its sorted sources.
     rows = docs.withColumn("mix_pattern", F.to_json(F.array_sort(F.array_distinct(names)), {"ignoreNullFields": "false"}))
     rows = rows.withColumn("mix_rank", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
