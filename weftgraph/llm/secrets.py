@@ -1,6 +1,7 @@
 """Secret scan with a random forest against false positives, in DataFrame functions and Spark ML only.
 
-Candidates are long tokens with a digit. A forest judges each by its length, its character transitions,
+Candidates are long tokens with a digit or an inner capital, and values that are assigned to a secret's
+name. A forest judges each by its length, its character transitions,
 how much of it dictionary words cover, its path and its neighbouring words; it is trained on labelled
 findings.
 """
@@ -14,16 +15,28 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate inside a word: at least 16 token characters, one of them a digit, with base64's padding.
+from .util import stash
+
+#: A long token inside a word: at least 16 token characters with a digit, or a capital after the first, with base64's padding.
 #: '=' and ':' are no token characters, so that an assigned value stands alone and its name before it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9]|[A-Za-z+/_.-]+[A-Z])[A-Za-z0-9+/_.-]{16,}={0,2}"
+#: Names whose assigned value is a candidate of its own, and signs that assign.
+SECRET_NAME = r"(?i:secret|token|passw|passphrase|pwd|api_?key|access_?key|private|credential|bearer|auth(?!or))"
+_SIGN = r"(?::=|=>|==?|:)"
+#: Stands before a word that the words before it make an assigned value.
+_MARK = "\x01"
+#: The assignment of a word by the words before it, or by its own first sign.
+_ASSIGNED = rf"{SECRET_NAME}[^\s=:,;]{{0,40}}(?:\s[^\s=:,;{_MARK}]{{1,40}})?\s?(?:{_SIGN}\s?{_MARK}|{_MARK}{_SIGN})"
+#: An assigned value: 8 characters or more up to a quote, the next assignment or closing punctuation.
+VALUE = rf"(?<=[=:>\"'`({_MARK}])(?<=(?:{SECRET_NAME}[^\s=:,;]{{0,40}}{_SIGN}|{_MARK}{_SIGN}?)[\"'`(]{{0,2}})(?![=>:(]|//)(?:(?![,;&|][A-Za-z_\"'][A-Za-z0-9_.\-\"']{{0,40}}[=:])[^\s\"'`{_MARK}]){{8,}}(?:(?=[\"'`])|(?<![,;.)\]}}>]))"
+CANDIDATE = f"{VALUE}|{TOKEN}"
 #: Short dictionary: words whose presence speaks for a name rather than a random token.
 WORDS = ["the", "and", "for", "with", "that", "this", "from", "test", "example", "sample", "user", "name", "file", "data", "value", "version", "build", "release", "image", "model", "page", "index", "config", "local", "server", "client", "http", "www", "com", "org", "html", "json", "item", "list", "order", "number", "date", "time", "line", "block", "part", "section", "chapter", "figure", "table"]
 #: Words before a candidate that name a secret, and words that name something else.
 SECRET_NEAR = r"(secret|token|passw|pwd|api_?key|apikey|access_?key|private|credential|bearer|auth)"
 OTHER_NEAR = r"(commit|sha1|sha256|md5|hash|digest|checksum|uuid|guid|etag|revision|isbn|order|phone|card|example|sample|dummy|placeholder|version)"
 PATH_NOISE = r"(test|example|sample|doc|vendor|lock|fixture|mock|readme)"
-FEATURES = ["length", "transitions", "distinct", "digits", "upper", "hex", "dictionary", "path_noise", "secret_near", "other_near", "assigned", "repeats"]
+FEATURES = ["length", "transitions", "distinct", "digits", "upper", "hex", "dictionary", "path_noise", "secret_near", "other_near", "assigned", "repeats", "symbols", "vowels"]
 #: The forest is fitted on at most so many labelled findings, chosen by hash.
 MAX_TRAINING = 50_000
 
@@ -37,13 +50,22 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
     words = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+")
-    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), words.alias("w"))
-    found = F.expr("filter(transform(w, (x, i) -> struct(i as at, x as word)), x -> length(x.word) >= 16)")
-    rows = rows.withColumn("hits", F.filter(found, lambda x: F.rlike(x["word"], F.lit(CANDIDATE))))
+    # Most texts assign nothing to a secret's name; only the others' words are read with those before them.
+    named = F.rlike(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(rf"{SECRET_NAME}[^\s=:,;]{{0,40}}(?:\s+[^\s=:,;]{{1,40}})?\s*[=:]"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.explode(F.array(F.struct(words.alias("w"), named.alias("named")))).alias("s"))
+    rows = rows.select("doc_id", "path", "s.w", "s.named")  # through a generator, else a text is split again for each of its words
+    found = F.expr("filter(transform(w, (x, i) -> struct(i as at, x as word)), x -> length(x.word) >= if(named, 8, 16))")
+
+    def marked(x: Column) -> Column:
+        lead = F.array_join(F.slice("w", F.greatest(x["at"] - 2, F.lit(1)), F.least(x["at"], F.lit(3))), " ")
+        assigned = F.col("named") & F.rlike(F.concat(lead, F.lit(" " + _MARK), x["word"]), F.lit(_ASSIGNED))
+        return F.struct(x["at"].alias("at"), F.when(assigned, F.concat(F.lit(_MARK), x["word"])).otherwise(x["word"]).alias("word"))
+
+    rows = rows.withColumn("hits", F.filter(F.transform(found, marked), lambda x: F.rlike(x["word"], F.lit(CANDIDATE))))
     each = rows.where("size(hits) > 0").select("doc_id", "path", F.explode_outer(F.expr("transform(hits, x -> struct(x.at as at, x.word as word, array_join(slice(w, greatest(x.at - 2, 1), least(x.at, 3)), ' ') as lead, coalesce(get(w, x.at + 1), '') as next))")).alias("h"))
     tokens = F.regexp_extract_all("h.word", F.lit(CANDIDATE), F.lit(0))
     each = each.select("doc_id", "path", "h", F.split("h.word", CANDIDATE).alias("between"), F.posexplode(tokens).alias("part", "candidate"))
-    before = F.concat_ws(" ", "h.lead", F.get("between", F.col("part")))
+    before = F.concat_ws(" ", "h.lead", F.translate(F.get("between", F.col("part")), _MARK, ""))
     after = F.concat_ws(" ", F.substring(F.get("between", F.col("part") + 1), 1, 200), "h.next")
     return each.select("doc_id", F.col("h.at").alias("at"), "part", "candidate", before.alias("before"), after.alias("after"), "path")
 
@@ -71,6 +93,8 @@ def features(found: DataFrame) -> DataFrame:
         "other_near": F.rlike(F.lower(F.concat_ws(" ", "before", "after")), F.lit(OTHER_NEAR)).cast("int"),
         "assigned": F.rlike(F.col("before"), F.lit(r"[=:]\s*[\"'`]?$")).cast("int"),
         "repeats": 1 - F.length(F.regexp_replace(c, r"(.)\1+", "$1")) / n,
+        "symbols": share("[^A-Za-z0-9+/_.-]"),
+        "vowels": share("[AEIOUaeiou]"),
     }
     return found.withColumns({k: v.cast("double") for k, v in cols.items()})
 
@@ -81,7 +105,10 @@ def synthetic_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> Dat
     Secrets are random tokens of 16 to 48 characters in hex, base64, capitals with digits (a key id with
     its prefix) or mixed letters, assigned to a secret's name or following one; two in five of those that
     are not hex stand alone. The others are digests, ids, numbers, host names, names with digits in small
-    or capital letters, and placeholders, some of them next to a secret's name or assigned.
+    or capital letters, and placeholders, some of them next to a secret's name or assigned. Half as many
+    more are without digits or short: secrets are random letters and assigned passwords of 8 to 15
+    characters with signs; the others are compound names and words, and words, calls and placeholders
+    assigned to a secret's name.
     """
 
     def pick(options: list[str], salt: int) -> Column:
@@ -109,13 +136,33 @@ def synthetic_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> Dat
     other_before = F.when(kind == 0, F.concat(noise, assign)).when((kind == 2) | (kind == 3), F.concat(F.when(F.col("id") % 5 < 2, key).otherwise(words[0]), assign)).otherwise(F.concat(noise, F.lit(" ")))
     label = F.pmod(F.xxhash64("id", F.lit("label")), F.lit(2))
     lead = F.concat_ws(" ", words[1], words[2])
-    return spark.range(n).select(
+    syllables = ["er", "ung", "ti", "on", "schlich", "ment", "keit", "la", "st", "con", "ber", "den", "tz", "tra", "ing", "sch"]
+    spoken = F.concat(*(pick(syllables, 20 + i) for i in range(7)))
+    signs = F.translate(F.substring(b64, F.lit(5), F.lit(8) + F.pmod(F.col("id"), F.lit(8)).cast("int")), "AEIMaeim048+/", "!@#$%&*?!@#$^")
+    letters = F.translate(F.substring(b64, F.lit(3), F.lit(16) + F.pmod(F.col("id"), F.lit(20)).cast("int")), "0123456789+/", "qWzRtYxIoPaS")
+    letters = F.when(F.col("id") % 3 == 0, F.concat(prefix, F.translate(F.substring(h, 1, 16), "0123456789abcdef", "QWZRTYUIPASDFGHK"))).otherwise(letters)
+    camel = F.concat(*(F.initcap(pick(WORDS, 40 + i)) for i in range(4)), F.initcap(spoken))
+    plain = F.when(F.col("id") % 3 == 0, camel).when(F.col("id") % 3 == 1, F.upper(spoken)).otherwise(F.concat_ws("-", F.initcap(words[0]), F.initcap(spoken), F.initcap(words[2])))
+    stub = pick(["required", "undefined", "********", "xxxxxxxx", "<your-value>", "${SECRET_VALUE}", "{{password}}", "getpass()", "os.environ[KEY]", "changeme", "example1"], 60)
+    stub = F.when(F.col("id") % 3 == 0, stub).when(F.col("id") % 3 == 1, F.substring(spoken, 1, 14)).otherwise(F.concat(words[0], pick(["_", "-", "", "."], 61), words[1], words[2]))
+    odd, named_before = F.col("id") % 2 == 1, F.concat(key, assign)
+    short = F.when(label == 1, F.when(odd, signs).otherwise(letters)).otherwise(F.when(odd, stub).otherwise(plain))
+    short_before = F.when(odd, F.concat(key, pick([' = "', "=", ": ", "='"], 62))).when(label == 1, F.when(alone, words[3]).otherwise(named_before)).otherwise(F.when(F.col("id") % 5 == 0, F.concat(words[0], assign)).otherwise(words[3]))
+    more = spark.range(10**9, 10**9 + n // 2).select(
+        short.alias("candidate"),
+        F.concat_ws(" ", lead, short_before).alias("before"),
+        F.concat_ws(" ", pick(['"', "", "'", ","], 6), words[3]).alias("after"),
+        pick(["", "src/app.py", "deploy/env", "web"], 8).alias("path"),
+        label.cast("double").alias("label"),
+    )
+    first = spark.range(n).select(
         F.when(label == 1, secret).otherwise(other).alias("candidate"),
         F.concat_ws(" ", lead, F.when((label == 1) & alone, words[3]).when(label == 1, F.concat(key, assign)).otherwise(other_before)).alias("before"),
         F.concat_ws(" ", pick(['"', "", "'", ","], 6), words[3]).alias("after"),
         F.when(F.pmod(F.xxhash64("id", F.lit("path")), F.lit(10)) < F.when(label == 1, 1).otherwise(4), pick(["tests/data.py", "docs/example.md", "vendor/x.lock"], 7)).otherwise(pick(["", "src/app.py", "deploy/env", "web"], 8)).alias("path"),
         label.cast("double").alias("label"),
     )
+    return stash(first.unionByName(more), "findings")  # features would repeat the long expressions
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11, max_rows: int = MAX_TRAINING) -> RandomForestClassificationModel:
