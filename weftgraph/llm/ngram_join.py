@@ -342,7 +342,8 @@ def _open_buckets(buckets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
     """Near-duplicate classes: one row (doc_id, n_shingles, component_id) per input row.
 
-    `with_row` adds row, the hash of the text, which tells rows with one id apart.
+    `with_row` adds row, the hash of the text, which tells rows with one id apart, and root, which names the
+    class whatever its ids are (null for an empty set).
 
     A row's set holds its distinct n-word shingles (words are runs without white space; `lower` folds
     A-Z; fewer words than n: the whole sequence is one). Rows are linked when 100 * |intersection| >=
@@ -366,6 +367,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bo
     first = real.groupBy("ent").agg(F.min("doc_id").alias("first"))
     tagged = first.join(roots, F.col("ent") == F.col("node"), "left").withColumn("root", F.coalesce("root", "ent"))
     lowest = tagged.where("node is not null").groupBy(F.col("root").alias("r")).agg(F.min("first").alias("low"))
-    classes = stash(tagged.join(lowest, F.col("root") == F.col("r"), "left").select(F.col("ent").alias("e"), F.coalesce("low", "first").alias("component_id")), "classes")
+    classes = stash(tagged.join(lowest, F.col("root") == F.col("r"), "left").select(F.col("ent").alias("e"), F.coalesce("low", "first").alias("component_id"), *["root"] * with_row), "classes")
     out = sizes.join(classes, (F.col("ent") == F.col("e")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", *["row"] * with_row, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", *["row", "root"] * with_row, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
