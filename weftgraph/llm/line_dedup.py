@@ -183,7 +183,7 @@ def keep_bitmaps(docs: DataFrame, least: int = 20, most: int = 3, id_col: str =
     """
     spark = docs.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))  # checkpoint() needs it in the context
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     keys = rows.mapInArrow(_keys(least), _ROW)
     order = ("h1", "h2", F.col("doc").desc_nulls_last())
