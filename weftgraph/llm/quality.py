@@ -19,11 +19,13 @@ from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as V
-from .util import stash
+from .util import quoted, small, stash
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -70,46 +72,59 @@ def _line_hashes(buf: np.ndarray, off: np.ndarray, starts: np.ndarray) -> tuple[
     return V.word_hashes(buf, lo, hi, lower=False), np.searchsorted(lo, off)
 
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cols: dict[str, list] = {c: [] for c in _COUNTS}
-        for lo, hi, buf, off in V.blocks(b.column(3)):
-            starts, ends, first = V.word_bounds(buf, off)
-            cols["n_words"].append(np.diff(first))
-            cols["word_chars"].append(_per_text(~V._SPACE[buf] & ((buf & 0xC0) != 0x80), off))
-            for name, kind in _KIND.items():
-                cols[name].append(_per_text(kind[buf], off))
-            words = V.word_hashes(buf, starts, ends, lower=False)
-            grams, base = V.windows(words, first, 3, short=False)
-            lines, line = _line_hashes(buf, off, starts)
-            cols["n_text_lines"].append(np.diff(line))
-            dup, rep = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
-            for i in range(hi - lo):
-                own = lines[line[i] : line[i + 1]]
-                if len(own) > 1:
-                    dup[i] = len(own) - len(np.unique(own))
-                own = grams[base[i] : base[i + 1]]
-                if len(own) > 1:
-                    order = np.argsort(own)
-                    s = own[order]
-                    same = s[1:] == s[:-1]
-                    if same.any():
-                        twice = np.zeros(len(own) + 2, bool)
-                        at = np.concatenate([order[1:][same], order[:-1][same]])
-                        twice[at] = twice[at + 1] = twice[at + 2] = True
-                        rep[i] = twice.sum()
-            cols["n_dup_lines"].append(dup)
-            cols["n_repeat_words"].append(rep)
-        arrays = [pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in cols.values()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *arrays], names=["doc_id", "row", "stratum", *_COUNTS])
+def _stats(text: int | None = None):
+    """Batches -> the same columns and the counts. The text is the last column, which goes, or a field of the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.num_columns - 1) if text is None else pa.compute.struct_field(b.column(0), [text]).cast(pa.string())
+            own = b.columns[: b.num_columns - (text is None)]
+            yield pa.RecordBatch.from_arrays([*own, *_counted(texts)], names=[*b.schema.names[: len(own)], *_COUNTS])
+
+    return run
+
+
+def _counted(texts: pa.Array) -> list[pa.Array]:
+    cols: dict[str, list] = {c: [] for c in _COUNTS}
+    for lo, hi, buf, off in V.blocks(texts):
+        starts, ends, first = V.word_bounds(buf, off)
+        cols["n_words"].append(np.diff(first))
+        cols["word_chars"].append(_per_text(~V._SPACE[buf] & ((buf & 0xC0) != 0x80), off))
+        for name, kind in _KIND.items():
+            cols[name].append(_per_text(kind[buf], off))
+        words = V.word_hashes(buf, starts, ends, lower=False)
+        grams, base = V.windows(words, first, 3, short=False)
+        lines, line = _line_hashes(buf, off, starts)
+        cols["n_text_lines"].append(np.diff(line))
+        dup, rep = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
+        for i in range(hi - lo):
+            own = lines[line[i] : line[i + 1]]
+            if len(own) > 1:
+                dup[i] = len(own) - len(np.unique(own))
+            own = grams[base[i] : base[i + 1]]
+            if len(own) > 1:
+                order = np.argsort(own)
+                s = own[order]
+                same = s[1:] == s[:-1]
+                if same.any():
+                    twice = np.zeros(len(own) + 2, bool)
+                    at = np.concatenate([order[1:][same], order[:-1][same]])
+                    twice[at] = twice[at + 1] = twice[at + 2] = True
+                    rep[i] = twice.sum()
+        cols["n_dup_lines"].append(dup)
+        cols["n_repeat_words"].append(rep)
+    return [pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in cols.values()]
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
     """Counts per input row. Null, empty and blank texts have zeros; a null stratum is its own ('')."""
     kind = docs.schema[id_col].dataType.simpleString()
-    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), stratum.alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_stats, f"doc_id {kind}, row long, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), _stratum(docs, stratum_col).alias("stratum"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_stats(), f"doc_id {kind}, row long, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS))
+
+
+def _stratum(docs: DataFrame, stratum_col: str | None) -> Column:
+    return F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
 
 
 def base_failed() -> Column:
@@ -247,3 +262,19 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float =
     stats = stash(text_stats(docs, id_col, text_col, stratum_col), "stats")
     cutoffs = calibrate(stats, labels, risk, doubt)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~cutoffs.rejects())
+
+
+def keep(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
+    """The input rows, with all their columns, that judge() keeps.
+
+    Only labelled texts are read to calibrate, if their ids are few enough to be broadcast; then every text
+    is judged where it stands: no text is shuffled or joined. Repeated rows share their fate.
+    """
+    named = stash(labels.where("doc_id is not null").select(F.col("doc_id").alias("labelled_id")).distinct(), "labelled_ids")
+    few = small(named)
+    known = docs if few is named else docs.join(few, F.col(id_col) == F.col("labelled_id"), "left_semi")
+    cutoffs = calibrate(text_stats(known, id_col, text_col, stratum_col), labels, risk, doubt)
+    whole = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"), _stratum(docs, stratum_col).alias("stratum"))
+    schema = T.StructType([T.StructField("doc", docs.schema), T.StructField("stratum", T.StringType()), *(T.StructField(c, T.LongType()) for c in _COUNTS)])
+    judged = whole.mapInArrow(_stats(docs.columns.index(text_col)), schema).where(~base_failed() & ~cutoffs.rejects())
+    return judged.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
