@@ -1,8 +1,8 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Texts that have the same n-gram set are one *entity* (a 64-bit digest of the set). The hash order of all
-n-grams is cut into fragments. Each fragment finds the exact document frequency of its n-grams; only
-n-grams of two entities or more go on. With the global order (frequency, hash), two sets that reach the
+n-grams is cut into fragments. Each fragment finds the document frequency of its n-grams; only n-grams
+that occur twice or more go on. With the global order (frequency, hash), two sets that reach the
 threshold share an n-gram among the first n - ceil(t n) + 1 of each, so an entity whose unshared n-grams
 fill that prefix has no partner. The few others meet in buckets by prefix n-gram. A bucket isn't
 multiplied out: a hub (fewest unshared n-grams) is compared with the members of other components and the
@@ -11,6 +11,11 @@ their distinct pairs, and larger ones are compared block by block, two blocks to
 only links that merge components. The overlap of a pair is counted
 in every fragment separately and the partial counts are summed.
 
+A text travels to the fragments under a short name: its number among the texts that its task holds at
+once. What one fragment gets of a text so costs a byte or two besides the n-grams, however many fragments
+there are. Equal sets of different tasks meet in a directory by digest, dealt over the same tasks; one of
+them stays, and an n-gram that only its copies hold is told from a shared one by the number of copies.
+
 Hashes have 64 bits, of which the low 48 of an n-gram's travel: with the fragment's number about 52 at 12
 partitions, and 48 and a quarter of the order in overlap counts. Equal hashes are taken as equal n-grams and equal digests as equal sets.
 """
@@ -21,13 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as V
 from .components import components
-from .util import shuffle_partitions, stash
+from .util import free_name, quoted, shuffle_partitions, small, stash
 
+#: N-grams that a task holds before they travel; one text may have more.
+HELD = 1_500_000
 #: Slices in which a task works through its fragment, to bound memory.
 SLICES = 3
 #: Fragments in which a pair's overlap is counted.
@@ -56,12 +64,11 @@ def _sizes(n: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, ent = [], []
-            for _, sets, digest in _sets(b.column("text"), n, lower):
+            for _, sets, digest in _sets(b.column(b.num_columns - 1), n, lower):
                 size += [len(s) for s in sets]
                 ent.append(digest.view(np.int64))
             ents = np.concatenate(ent) if ent else np.zeros(0, np.int64)
-            own = [c for c in b.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(size, pa.int64()), pa.array(ents)], names=[*own, "n_shingles", "ent"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size, pa.int64()), pa.array(ents)], names=[*b.schema.names[:-1], "n_shingles", "ent"])
 
     return run
 
@@ -78,63 +85,106 @@ def _eight(blob: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _pack(ent: np.ndarray, count: np.ndarray, grams: np.ndarray) -> bytes:
-    """Entities, n-grams per entity in a byte each, and the n-grams' low 48 bits.
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte place by byte place, so that equal high bytes stand together and compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
-    An entity of more than 255 n-grams is listed again for the rest.
-    """
-    times = (count + 254) // 255
-    few = np.full(int(times.sum()), 255, np.uint8)
-    few[np.cumsum(times) - 1] = count - 255 * (times - 1)
-    return len(few).to_bytes(4, "little") + np.repeat(ent, times).tobytes() + few.tobytes() + _six(grams)
+
+def _unplanes(blob: bytes, kind: type, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * width).reshape(width, n).T).view(kind).ravel()
+
+
+def _pack(name: np.ndarray, count: np.ndarray, grams: np.ndarray) -> bytes:
+    """Ascending names (as differences), n-grams under each, and the n-grams' low 48 bits."""
+    step = np.diff(name, prepend=np.uint64(0)).astype(np.uint64)
+    return len(name).to_bytes(4, "little") + _planes(step) + _planes(count.astype(np.uint32)) + _six(grams)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Each n-gram's entity, the n-grams, and what follows them."""
+    """Each n-gram's name, the n-grams, and what follows them."""
     k = int.from_bytes(blob[:4], "little")
-    count = np.frombuffer(blob, np.uint8, k, 4 + 8 * k)
-    end = 4 + 9 * k + 6 * int(count.sum(dtype=np.int64))
-    return np.repeat(np.frombuffer(blob, np.uint64, k, 4), count), _eight(blob[4 + 9 * k : end]), blob[end:]
+    name = np.cumsum(_unplanes(blob[4:], np.uint64, k), dtype=np.uint64)
+    count = _unplanes(blob[4 + 8 * k :], np.uint32, k)
+    at = 4 + 12 * k
+    end = at + 6 * int(count.sum(dtype=np.int64))
+    return np.repeat(name, count), _eight(blob[at:end]), blob[end:]
+
+
+def _runs(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a grouped array and their numbers."""
+    start = np.flatnonzero(np.diff(name, prepend=~name[:1])) if len(name) else np.zeros(0, np.int64)
+    return name[start], np.diff(start, append=len(name))
+
+
+#: A text of a block in the directory: its number, set size and set digest.
+_ENTRY = np.dtype([("ent", np.uint64), ("idx", np.uint32), ("n", np.uint32)])
+#: The directory's answer: the one text that stands for its set, and how many do besides in other blocks.
+_ANSWER = np.dtype([("name", np.uint64), ("ent", np.uint64), ("n", np.uint32), ("copies", np.uint32)])
+#: A name is a block's number and a text's number in it; a block's is its task's and one of at most 2^20 in it.
+_IDX_BITS, _TURN_BITS = np.uint64(24), 20
 
 
 def _segments(n: int, lower: bool, fragments: int):
-    """Texts -> (f, blob): the part of every set that lies in fragment f, packed for a block of texts."""
+    """Texts -> (f, blk, entry, blob): the part of every set that lies in fragment f, and the directory's part f."""
+
+    def flush(held: list[tuple[list[np.ndarray], np.ndarray]], blk: int) -> Iterator[pa.RecordBatch]:
+        digest = np.concatenate([d for _, d in held])
+        _, keep = np.unique(digest, return_index=True)  # a copy within the block adds nothing
+        sets = [x for xs, _ in held for x in xs]
+        own = [sets[i] for i in keep if len(sets[i])]
+        keep = [i for i in keep if len(sets[i])]
+        if not keep:
+            return
+        size = np.array([len(x) for x in own], np.int64)
+        grams = np.concatenate(own)
+        f = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(f, kind="stable")
+        cuts = np.searchsorted(f[order], np.arange(fragments + 1))
+        grams, who = grams[order], np.repeat(np.arange(len(own), dtype=np.uint64), size)[order]
+        del f, order, own, sets
+        entries = np.zeros(len(keep), _ENTRY)
+        entries["ent"], entries["idx"], entries["n"] = digest[keep], np.arange(len(keep)), size
+        to = (V.mix(entries["ent"]) % np.uint64(fragments)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        ends = np.searchsorted(to[order], np.arange(fragments + 1))
+        for lo in range(0, fragments, 256):
+            fs, entry, blobs = [], [], []
+            for i in range(lo, min(fragments, lo + 256)):
+                if cuts[i] < cuts[i + 1]:
+                    own = slice(cuts[i], cuts[i + 1])
+                    fs.append(i), entry.append(False), blobs.append(_pack(*_runs(who[own]), grams[own]))
+                if ends[i] < ends[i + 1]:
+                    fs.append(i), entry.append(True), blobs.append(entries[order[ends[i] : ends[i + 1]]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(fs, pa.int32()), pa.array([blk] * len(fs), pa.int64()), pa.array(entry, pa.bool_()), pa.array(blobs, pa.binary())], names=["f", "blk", "entry", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, load, turn, first = [], 0, 0, TaskContext.get().partitionId() << _TURN_BITS
         for b in batches:
             for _, sets, digest in _sets(b.column(0), n, lower):
-                _, keep = np.unique(digest, return_index=True)  # a copy within the block adds nothing
-                size = np.array([len(sets[i]) for i in keep], np.int64)
-                grams = np.concatenate([sets[i] for i in keep]) if len(keep) else np.zeros(0, np.uint64)
-                f = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-                who = np.repeat(np.arange(len(keep)), size)
-                order = np.argsort(f, kind="stable")
-                f, grams, who = f[order], grams[order], who[order]
-                cuts = np.searchsorted(f, np.arange(fragments + 1))
-                fs, blobs = [], []
-                for i in np.flatnonzero(np.diff(cuts)):
-                    lo, hi = cuts[i], cuts[i + 1]
-                    change = np.flatnonzero(np.diff(who[lo:hi], prepend=-1))
-                    own = who[lo:hi][change]
-                    fs.append(i)
-                    blobs.append(_pack(digest[keep][own], np.diff(change, append=hi - lo), grams[lo:hi]))
-                yield pa.RecordBatch.from_arrays([pa.array(fs, pa.int32()), pa.array(blobs, pa.binary())], names=["f", "blob"])
+                held.append((sets, digest))
+                load += sum(map(len, sets))
+                if load >= HELD:
+                    yield from flush(held, first + turn)
+                    held, load, turn = [], 0, turn + 1
+        if held:
+            yield from flush(held, first + turn)
 
     return run
 
 
-def _group(ent: np.ndarray, groups: int) -> np.ndarray:
-    return (ent >> np.uint64(20)) % np.uint64(groups)
+def _rank(df: np.ndarray) -> np.ndarray:
+    """8 steps an octave, in a byte: any order that is the same for all sets will do."""
+    return np.minimum(8 * np.log2(df), 255).astype(np.uint8)
 
 
 def _frequencies(groups: int):
-    """Fragments -> (g, f, blob): n-grams that several entities share, with their rank, by entity group.
+    """Fragments -> (g, f, blob): n-grams that occur twice or more by text group, with the frequency's rank and low byte.
 
-    An n-gram's rank is its exact frequency on a scale of 8 steps an octave, in a byte: any order that is
-    the same for all sets will do.
+    Under f = -1: the directory's answers for a text group.
     """
 
-    def shared(ent: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def shared(name: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(gram, kind="stable")
         g = gram[order]
         # An n-gram that occurs once needs no more work: most stop here.
@@ -142,92 +192,103 @@ def _frequencies(groups: int):
         twice[1:] = g[1:] == g[:-1]
         twice[:-1] |= twice[1:]
         order = order[twice]
-        ent, gram = ent[order], gram[order]
-        order = np.lexsort((ent, gram))
-        ent, gram = ent[order], gram[order]
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (ent[1:] != ent[:-1])
-        ent, gram = ent[new], gram[new]
-        start = np.flatnonzero(np.diff(gram, prepend=~gram[:1])) if len(gram) else np.zeros(0, np.int64)
-        runs = np.diff(start, append=len(gram))
-        df = np.repeat(runs, runs)
-        several = df > 1
-        return ent[several], gram[several], np.minimum(8 * np.log2(df[several]), 255).astype(np.uint8)
+        name, gram = name[order], gram[order]
+        _, runs = _runs(gram)
+        return name, gram, np.repeat(runs, runs)
+
+    def parts(name: np.ndarray) -> Iterator[tuple[int, slice]]:
+        cuts = np.searchsorted(_group(name, groups), np.arange(groups + 1))  # sorted by group
+        for i in np.flatnonzero(np.diff(cuts)):
+            yield int(i), slice(cuts[i], cuts[i + 1])
+
+    def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["g", "f", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        entries: list[np.ndarray] = []
         for b in batches:
-            for f, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.setdefault(f, []).append(blob)
+            for f, blk, entry, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if entry:
+                    rows = np.frombuffer(blob, _ENTRY)
+                    known = np.zeros(len(rows), _ANSWER)
+                    known["ent"], known["n"], known["name"] = rows["ent"], rows["n"], (np.uint64(blk) << _IDX_BITS) + rows["idx"]
+                    entries.append(known)
+                else:
+                    held.setdefault(f, []).append((blk, blob))
+        if entries:
+            known = np.concatenate(entries)
+            del entries
+            known = known[np.lexsort((known["name"], known["ent"]))]
+            _, copies = _runs(known["ent"])
+            known = known[np.cumsum(copies) - copies]  # of equal sets the smallest name stands for all
+            known["copies"] = copies
+            known = known[np.argsort(_group(known["name"], groups), kind="stable")]
+            yield batch([(g, -1, known[own].tobytes()) for g, own in parts(known["name"])])
         for f in sorted(held):
-            parts = [_unpack(x) for x in held.pop(f)]
-            ents, grams = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            del parts
-            which = V.mix(grams) % np.uint64(SLICES)
-            found = [shared(ents[own], grams[own]) for own in (which == i for i in range(SLICES))]
-            del ents, grams, which
-            ent, gram, rank = (np.concatenate(x) for x in zip(*found, strict=True))
-            g = _group(ent, groups)
-            order = np.lexsort((gram, ent, g))
-            ent, gram, rank, g = ent[order], gram[order], rank[order], g[order]
-            cuts = np.searchsorted(g, np.arange(groups + 1))
-            which = np.flatnonzero(np.diff(cuts))
-            blobs = []
-            for lo, hi in zip(cuts[which], cuts[which + 1], strict=True):
-                start = np.flatnonzero(np.diff(ent[lo:hi], prepend=~ent[lo : lo + 1]))
-                blobs.append(_pack(ent[lo:hi][start], np.diff(start, append=hi - lo), gram[lo:hi]) + rank[lo:hi].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([f] * len(which), pa.int32()), pa.array(blobs, pa.binary())], names=["g", "f", "blob"])
+            pieces = held.pop(f)
+            names, grams = [], []
+            while pieces:
+                blk, blob = pieces.pop()
+                name, gram, _ = _unpack(blob)
+                names.append(name + (np.uint64(blk) << _IDX_BITS)), grams.append(gram)
+            name, gram = np.concatenate(names), np.concatenate(grams)
+            del names, grams
+            which = V.mix(gram) % np.uint64(SLICES)
+            found = [shared(name[own], gram[own]) for own in (which == i for i in range(SLICES))]
+            del name, gram, which
+            name, gram, df = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((gram, name, _group(name, groups)))
+            name, gram, df = name[order], gram[order], df[order]
+            rank, low = _rank(df), df.astype(np.uint8)
+            yield batch([(g, f, _pack(*_runs(name[own]), gram[own]) + rank[own].tobytes() + low[own].tobytes()) for g, own in parts(name)])
 
     return run
 
 
-_SIZE = np.dtype([("ent", np.uint64), ("n", np.uint32)])
-
-
-def _set_sizes(groups: int):
-    """(ent, n) rows -> (g, f, blob): the sizes of sets by entity group, under f = -1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = np.zeros(b.num_rows, _SIZE)
-            rows["ent"], rows["n"] = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
-            rows = rows[np.unique(rows["ent"], return_index=True)[1]]
-            g = _group(rows["ent"], groups)
-            rows, g = rows[np.argsort(g, kind="stable")], np.sort(g)
-            cuts = np.searchsorted(g, np.arange(groups + 1))
-            which = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([-1] * len(which), pa.int32()), pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in which], pa.binary())], names=["g", "f", "blob"])
-
-    return run
+def _group(name: np.ndarray, groups: int) -> np.ndarray:
+    return V.mix(name) % np.uint64(groups)
 
 
 def _prefixes(percent: int):
-    """Entity groups -> entities that may have a partner: their shared prefix n-grams and all shared ones."""
+    """Text groups -> entities that may have a partner: their shared prefix n-grams and all shared ones.
+
+    own counts the n-grams that no other entity has. Where more than 2,800 copies of a set make a frequency
+    ambiguous, its n-grams count as shared, which only keeps an entity longer.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ents, all_grams, ranks, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, _SIZE)]
+        names, grams, ranks, lows, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)], [np.zeros(0, _ANSWER)]
         for b in batches:
             for f, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if f < 0:
-                    sizes.append(np.frombuffer(blob, _SIZE))
+                    known.append(np.frombuffer(blob, _ANSWER))
                     continue
-                ent, gram, rank = _unpack(blob)
-                ents.append(ent), all_grams.append(gram | np.uint64(f % 2**16) << np.uint64(48)), ranks.append(np.frombuffer(rank, np.uint8))
-        ent, gram, rank, size = np.concatenate(ents), np.concatenate(all_grams), np.concatenate(ranks), np.concatenate(sizes)
-        del ents, all_grams, ranks, sizes
-        order = np.lexsort((gram, rank, ent))
-        ent, gram = ent[order], gram[order]
-        size = size[np.unique(size["ent"], return_index=True)[1]]
-        start = np.flatnonzero(np.diff(ent, prepend=~ent[:1])) if len(ent) else np.zeros(0, np.int64)
-        n_of = size["n"][np.searchsorted(size["ent"], ent[start])]
+                name, gram, more = _unpack(blob)
+                names.append(name), grams.append(gram | np.uint64(f % 2**16) << np.uint64(48))
+                ranks.append(np.frombuffer(more, np.uint8, len(gram))), lows.append(np.frombuffer(more, np.uint8, len(gram), len(gram)))
+        name, gram, rank, low, known = (np.concatenate(x) for x in (names, grams, ranks, lows, known))
+        del names, grams, ranks, lows
+        known = known[np.argsort(known["name"])]
+        at = np.searchsorted(known["name"], name)
+        stays = known["name"][np.minimum(at, len(known) - 1)] == name if len(known) else np.zeros(len(name), bool)
+        at = np.where(stays, at, 0)
+        if len(known):  # n-grams that only the set's own copies hold
+            copies = known["copies"][at]
+            stays &= (copies == 1) | (copies > 2800) | (_rank(copies) != rank) | (copies.astype(np.uint8) != low)
+        name, gram, rank, at = name[stays], gram[stays], rank[stays], at[stays]
+        order = np.lexsort((gram, rank, name))
+        name, gram, at = name[order], gram[order], at[order]
+        _, runs = _runs(name)
+        end = np.cumsum(runs)
         out = [[], [], [], [], []]
-        for lo, hi, n in zip(start, np.append(start, len(ent))[1:], n_of.tolist(), strict=True):
-            shared = int(hi - lo)
+        for lo, hi, i in zip(end - runs, end, at[end - runs], strict=True):
+            n, shared = int(known["n"][i]), int(hi - lo)
             need = -(-percent * n // 100)
             if shared < need:
                 continue
-            grams = gram[lo:hi]
-            for col, x in zip(out, (ent[lo : lo + 1].view(np.int64)[0], n, n - shared, grams[: shared - need + 1].view(np.int64).tolist(), np.sort(grams).tobytes()), strict=True):
+            own = gram[lo:hi]
+            for col, x in zip(out, (known["ent"][i].view(np.int64), n, n - shared, own[: shared - need + 1].view(np.int64).tolist(), np.sort(own).tobytes()), strict=True):
                 col.append(x)
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["ent", "n", "own", "prefix", "grams"])
@@ -350,19 +411,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bo
     A-Z; fewer words than n: the whole sequence is one). Rows are linked when 100 * |intersection| >=
     percent * |union|; component_id is the smallest id that links reach. A null, empty or blank text has
     an empty set (n_shingles 0), is linked with nothing, and is its own component. Repeated rows stay,
-    one output row each. Rows with a null id can link others; their component_id is the smallest id that
-    isn't null, if any. Other columns are ignored; an empty table gives an empty result.
+    one output row each. Ids may have any type that has an order; rows with a null id can link others, and
+    their component_id is the smallest id that isn't null, if any. Other columns are ignored; an empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
     row = [F.xxhash64(text_col).alias("row")] if with_row else []
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row, F.col(text_col).cast("string").alias("text"))
-    sizes = stash(rows.mapInArrow(_sizes(n, lower), f"doc_id long, {'row long, ' * with_row}n_shingles long, ent long"), "sizes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), *row, F.col(text_col).cast("string").alias("text"))
+    sizes = stash(rows.mapInArrow(_sizes(n, lower), f"doc_id {kind}, {'row long, ' * with_row}n_shingles long, ent long"), "sizes")
     real = sizes.where("n_shingles > 0")
     parts = shuffle_partitions(spark)
-    # One fragment to a partition: the more fragments, the more often an entity is named in them.
-    segments = rows.select("text").mapInArrow(_segments(n, lower, parts), "f int, blob binary").repartitionById(parts, "f")
-    shared = segments.mapInArrow(_frequencies(parts), "g int, f int, blob binary")
-    shared = shared.unionByName(real.select("ent", "n_shingles").mapInArrow(_set_sizes(parts), "g int, f int, blob binary")).repartitionById(parts, "g")
+    segments = rows.select("text").mapInArrow(_segments(n, lower, parts), "f int, blk long, entry boolean, blob binary").repartitionById(parts, "f")
+    shared = segments.mapInArrow(_frequencies(parts), "g int, f int, blob binary").repartitionById(parts, "g")
     entities = stash(shared.mapInArrow(_prefixes(percent), "ent long, n int, own int, prefix array<long>, grams binary"), "entities")
     roots = stash(components(links(entities, percent)), "roots")
     first = real.groupBy("ent").agg(F.min("doc_id").alias("first"))
@@ -371,3 +432,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bo
     classes = stash(tagged.join(lowest, F.col("root") == F.col("r"), "left").select(F.col("ent").alias("e"), F.coalesce("low", "first").alias("component_id"), *["root"] * with_row), "classes")
     out = sizes.join(classes, (F.col("ent") == F.col("e")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", *["row", "root"] * with_row, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows, with all their columns, without near duplicates: one row of each class stays.
+
+    It is the row of the smallest id; of rows that share it (or of a class without ids) the one of the
+    smallest text hash, and of equal texts the one that comes first by its other columns. Texts without
+    words are in no class and stay. Up to BROADCAST_ROWS rows that go, their keys are broadcast and no text
+    moves; above that the texts are shuffled once.
+    """
+    classes = stash(jaccard_components(docs, n, percent, True, id_col, text_col, with_row=True).where("n_shingles > 0"), "rows")
+    g, r = free_name(docs, "gone_id"), free_name(docs, "gone_row")
+    heads = classes.where("doc_id <=> component_id")
+    several = stash(heads.groupBy("root").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"), "several")
+    shared = heads.join(several, "root")
+    keys = [F.col("doc_id").alias(g), F.col("row").alias(r)]
+    gone = classes.where("not (doc_id <=> component_id)").select(*keys).unionByName(shared.select(*keys)).distinct()
+    once = stash(shared.where("row = first").select(*keys).distinct(), "once")
+    same = quoted(id_col).eqNullSafe(F.col(g)) & (F.xxhash64(quoted(text_col)) == F.col(r))
+    out = docs.join(small(stash(gone, "gone")), same, "left_anti")
+    if not once.isEmpty():  # ids that repeat: of equal texts one row stays
+        rest = [c for c in docs.columns if c not in (id_col, text_col)]
+        picked = docs.join(small(once), same, "left_semi")
+        first = picked.groupBy(quoted(id_col), quoted(text_col)).agg(F.min(F.struct(*map(quoted, rest), F.lit(0))).alias("x")) if rest else picked.distinct()
+        out = out.unionByName(first.select(quoted(id_col), quoted(text_col), *(F.col("x")[c].alias(c) for c in rest)).select(*map(quoted, docs.columns)))
+    return out
