@@ -12,17 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, mixing, ngram_join, quality, sharding
-from weftgraph.llm.util import shared_folder, stash, table
+from weftgraph.llm.util import shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the base rule and the calibrated rules keep."""
-    docs = docs.select(*COLUMNS)
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
-    gone = judged.where("not kept").select(F.col("doc_id").alias("g"), "row").distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g")) & (F.xxhash64("text") == F.col("row")), "left_anti").select(*COLUMNS)
+    return quality.keep(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that share it (or of a class without ids) the one of the smallest text hash stays, and of equal
     texts the one of the smallest other columns. Texts without words are in no class and stay.
     """
-    docs = docs.select(*COLUMNS)
-    classes = stash(ngram_join.jaccard_components(docs, n=5, percent=80, with_row=True).where("n_shingles > 0"), "rows")
-    heads = classes.where("doc_id <=> component_id")
-    several = stash(heads.groupBy("root").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"), "several")
-    shared = heads.join(several, "root").select(F.col("doc_id").alias("g"), "row", "first").distinct()
-    once = shared.where("row = first").select("g", "row")
-    gone = classes.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("g"), "row").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("g")) & (F.xxhash64("text") == F.col("row"))
-    alone = docs.join(gone.unionByName(shared.select("g", "row")), same, "left_anti")
-    first = docs.join(once, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("x"))
-    return alone.unionByName(first.select("doc_id", "text", "x.*").select(*COLUMNS))
+    return ngram_join.one_of_each(docs.select(*COLUMNS), n=5, percent=80).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
