@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .util import shuffle_partitions, stash
+from .util import quoted, shuffle_partitions, stash
 
 #: Ranges: so many per shuffle partition, within these limits. The driver holds SAMPLE keys for each.
-PER_PARTITION, LEAST_RANGES, MOST_RANGES, SAMPLE = 4, 64, 4096, 24
+PER_PARTITION, LEAST_RANGES, MOST_RANGES, SAMPLE = 4, 64, 65_536, 24
 #: A range is too full above so many times the mean, and is cut again up to ROUNDS times.
 FULL, ROUNDS = 2.0, 3
 _SPAN = 2**53
@@ -76,16 +76,22 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_i
     """All input rows and columns plus shard_size, shard_crc32, shard, slot: bytes per shard are near equal.
 
     A record's size is the UTF-8 bytes of its text plus 1 (null: 0 bytes; its CRC is 0, as of an empty
-    text). slot counts a shard's records from 0 without gaps. Equal texts are neighbours and so share a
-    shard unless a border falls among them. Repeated rows are placed each for itself, in either order;
-    null ids come first among equal texts. Columns named like the added ones are replaced. An empty table
-    gives an empty result. Reruns agree.
+    text). slot counts a shard's records from 0 without gaps. Equal texts are neighbours, so a group of
+    equal texts is in one shard but for those that a border falls into: `shards` - 1 groups at most, and a
+    group above a shard's bytes has to be among them. Repeated rows are placed each for itself, in either
+    order; null ids come first among equal texts. Input columns named like the added ones are replaced, all
+    other names are left alone. An empty table gives an empty result. Reruns agree.
+
+    Records move once, to their range, which is a quarter of a shuffle partition up to MOST_RANGES ranges,
+    and are sorted there with their columns, as they lie in the shard.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = {"shard_size": (F.octet_length(text) + 1).cast("long"), "shard_crc32": F.crc32(text), "k1": F.xxhash64(text), "k2": F.coalesce(F.xxhash64(id_col), F.lit(0)) if docs.schema[id_col].dataType.typeName() == "string" else F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))}
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    key = quoted(id_col)
+    k2 = F.coalesce(F.xxhash64(key), F.lit(0)) if docs.schema[id_col].dataType.typeName() == "string" else F.coalesce(key.cast("long"), F.lit(-(2**63)))
     own = [c for c in docs.columns if c not in ("shard_size", "shard_crc32", "shard", "slot")]
-    keyed = docs.select(*own, *(v.alias(f"s__{k}") for k, v in named.items()))
-    narrow = stash(keyed.select(F.col("s__k1").alias("k1"), F.col("s__k2").alias("k2"), F.col("s__shard_size").alias("size")), "keys")
+    # The input's columns travel inside one struct, so none can have a name that is used here.
+    keyed = docs.select(F.struct(*map(quoted, own)).alias("doc"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("k1"), k2.alias("k2"))
+    narrow = stash(keyed.select("k1", "k2", "size"), "keys")
     total = int(narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     splits, held = _splitters(narrow, total, seed) if total else ([], {})
     start_b = start_n = 0
@@ -105,23 +111,23 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_i
         start_b, start_n = start_b + b, start_n + n
     starts_df = docs.sparkSession.createDataFrame(starts, "start_range int, start_b long, start_n long")
 
-    def placed(rows: DataFrame, k1: str, k2: str, size: str) -> DataFrame:
-        """Running sums inside ranges; the ranges' starts are a few thousand rows at most."""
-        inside = W.partitionBy("start_range").orderBy(k1, k2, size)
-        rows = rows.join(F.broadcast(starts_df), F.col("s__range") == F.col("start_range"))
-        rows = rows.withColumn("s__n", F.col("start_n") + F.row_number().over(inside) - 1)
-        upto = F.col("start_b") + F.sum(size).over(inside.rowsBetween(W.unboundedPreceding, 0))
-        middle2 = 2 * upto - F.col(size)
-        rows = rows.withColumn("s__twice", middle2 * shards)
-        return rows.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"s__twice div {2 * max(1, total)}")).cast("int"))
+    def placed(rows: DataFrame) -> DataFrame:
+        """Running sums inside ranges; the ranges' starts are MOST_RANGES rows or a few more."""
+        inside = W.partitionBy("start_range").orderBy("k1", "k2", "size")
+        rows = rows.join(F.broadcast(starts_df), F.col("range") == F.col("start_range"))
+        rows = rows.withColumn("n", F.col("start_n") + F.row_number().over(inside) - 1)
+        upto = F.col("start_b") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0))
+        rows = rows.withColumn("twice", (2 * upto - F.col("size")) * shards)
+        return rows.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"twice div {2 * max(1, total)}")).cast("int"))
 
+    place = _keys_range(splits, "k1", "k2")
     if border:
-        edge = placed(narrow.withColumn("s__range", _keys_range(splits, "k1", "k2")).where(F.col("s__range").isin(border)), "k1", "k2", "size")
-        for r in edge.groupBy("shard").agg(F.min("s__n").alias("n")).collect():
+        edge = placed(narrow.withColumn("range", place).where(F.col("range").isin(border)))
+        for r in edge.groupBy("shard").agg(F.min("n").alias("n")).collect():
             first[r["shard"]] = min(first.get(r["shard"], r["n"]), r["n"])
-    out = placed(keyed.withColumn("s__range", _keys_range(splits, "s__k1", "s__k2")), "s__k1", "s__k2", "s__shard_size")
+    out = placed(keyed.withColumn("range", place))
     begin = F.element_at(F.create_map(*(F.lit(x) for s in range(shards) for x in (s, first.get(s, 0)))), F.col("shard")).cast("long")
-    return out.select(*own, F.col("s__shard_size").alias("shard_size"), F.col("s__shard_crc32").alias("shard_crc32"), "shard", (F.col("s__n") - begin).alias("slot"))
+    return out.select(*(F.col("doc")[c].alias(c) for c in own), F.col("size").alias("shard_size"), F.col("crc").alias("shard_crc32"), "shard", (F.col("n") - begin).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
