@@ -10,14 +10,13 @@ so no document is ranked one by one and one long document can't spoil a source's
 
 from __future__ import annotations
 
-import heapq
 import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .util import stash
+from .util import quoted, stash
 
 #: log2 of the buckets of the seeded order.
 BUCKETS_LOG2 = 12
@@ -55,127 +54,150 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2)
 def route(capacity: dict[tuple, int], quota: dict, passes: int = 2) -> dict[tuple, dict]:
     """Words from each pattern to each of its sources: a maximal flow of least repetition cost.
 
-    Pass p of a pattern's words costs p^2. Successive shortest paths over the small pattern x source
-    graph; amounts are real numbers.
+    Pass p of a pattern's words costs p^2, the same for all patterns, and nothing else costs anything. So a
+    cheapest augmenting path is one that opens the cheapest pass, and the flow is built pass by pass: each
+    pass opens all patterns' capacity once more and is augmented to a maximal flow, which may reroute
+    earlier words between sources but never takes them back. Amounts are real numbers.
     """
     patterns, sources = sorted(capacity, key=repr), sorted(quota, key=repr)
-    node = {("p", p): i for i, p in enumerate(patterns, 1)} | {("s", s): i for i, s in enumerate(sources, 1 + len(patterns))}
-    end = 1 + len(node)
-    graph: list[list[list]] = [[] for _ in range(end + 1)]
-
-    def edge(u: int, v: int, room: float, cost: float) -> list:
-        a, b = [v, room, cost, len(graph[v])], [u, 0.0, -cost, len(graph[u])]
-        graph[u].append(a)
-        graph[v].append(b)
-        return a
-
-    flows = {}
-    for p in patterns:
-        for turn in range(passes):
-            edge(0, node["p", p], float(capacity[p]), float((turn + 1) ** 2))
-        for s in p:
-            if s in quota:
-                flows[p, s] = edge(node["p", p], node["s", s], float("inf"), 0.0)
+    place = {s: 1 + len(patterns) + i for i, s in enumerate(sources)}
+    end = 1 + len(patterns) + len(sources)
+    to: list[int] = []
+    room: list[float] = []
+    graph: list[list[int]] = [[] for _ in range(end + 1)]  # arcs by node; arc k's reverse is k ^ 1
+
+    def arc(u: int, v: int, r: float) -> int:
+        graph[u].append(len(to))
+        graph[v].append(len(to) + 1)
+        to.extend((v, u)), room.extend((r, 0.0))
+        return len(to) - 2
+
+    opened = [arc(0, i, 0.0) for i in range(1, len(patterns) + 1)]
+    flows = {(p, s): arc(i, place[s], float("inf")) for i, p in enumerate(patterns, 1) for s in p if s in quota}
     for s in sources:
-        edge(node["s", s], end, float(quota[s]), 0.0)
+        arc(place[s], end, float(quota[s]))
     tiny = 1e-9 * max(1.0, sum(quota.values()))
-    height = [0.0] * (end + 1)
-    while True:
-        far, back = [float("inf")] * (end + 1), [None] * (end + 1)
-        far[0], heap = 0.0, [(0.0, 0)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > far[u]:
-                continue
-            for k, (v, room, cost, _) in enumerate(graph[u]):
-                if room > tiny and (new := d + cost + height[u] - height[v]) < far[v] - 1e-12:
-                    far[v], back[v] = new, (u, k)
-                    heapq.heappush(heap, (new, v))
-        if back[end] is None:
-            break
-        height = [h + min(f, far[end]) for h, f in zip(height, far, strict=True)]
-        path, v = [], end
-        while v:
-            u, k = back[v]
-            path.append((u, k))
-            v = u
-        amount = min(graph[u][k][1] for u, k in path)
-        for u, k in path:
-            e = graph[u][k]
-            e[1] -= amount
-            graph[e[0]][e[3]][1] += amount
+
+    def levels() -> list[int] | None:
+        level, queue = [-1] * (end + 1), [0]
+        level[0] = 0
+        for u in queue:
+            for k in graph[u]:
+                if room[k] > tiny and level[to[k]] < 0:
+                    level[to[k]] = level[u] + 1
+                    queue.append(to[k])
+        return level if level[end] >= 0 else None
+
+    for _ in range(passes):
+        for k, p in zip(opened, patterns, strict=True):
+            room[k] += float(capacity[p])
+        while (level := levels()) is not None:  # a blocking flow, arc by arc
+            tried, path, u = [0] * (end + 1), [], 0
+            while True:
+                if u == end:
+                    amount = min(room[k] for k in path)
+                    for k in path:
+                        room[k] -= amount
+                        room[k ^ 1] += amount
+                    full = next(i for i, k in enumerate(path) if room[k] <= tiny)
+                    u = to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                while tried[u] < len(graph[u]):
+                    k = graph[u][tried[u]]
+                    if room[k] > tiny and level[to[k]] == level[u] + 1:
+                        break
+                    tried[u] += 1
+                else:
+                    if not path:
+                        break
+                    u = to[path.pop() ^ 1]
+                    tried[u] += 1
+                    continue
+                path.append(k)
+                u = to[k]
     out: dict[tuple, dict] = {p: {} for p in patterns}
-    for (p, s), e in flows.items():
-        out[p][s] = graph[e[0]][e[3]][1]
+    for (p, s), k in flows.items():
+        out[p][s] = room[k ^ 1]
     return out
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7, text_col: str = "text", members: str | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """All input rows and columns plus mix_size, mix_source_size, mix_target, mix_taken.
+    """All input rows and columns plus mix_size, mix_source_size, mix_target, mix_taken, mix_quotas.
 
     A document's size is its number of words. Without `members` its sources are its source_col; with it,
     that array column names all sources that hold the document (its size counts for each; mix_source_size
     and mix_target are sums over them). mix_taken is the number of words taken, whole documents times
     whole passes, at most `most` passes: per pattern, all documents up to the last full pass, then
-    documents in an order seeded by id and text until the routed words are used up. Null sources are a
-    source of their own; null or blank texts have size 0 and are taken 0 times; rows with one id and text
-    are taken alike. Reruns agree. An empty table gives an empty result.
+    documents in an order seeded by id and text until the routed words are used up. mix_quotas names, pass
+    by pass, the source whose quota the document fills. Null sources are a
+    source of their own; a null array of sources holds it alone; null or blank texts have size 0 and are
+    taken 0 times; rows with one id and text are taken alike. Input columns named like the added ones are
+    replaced, all other names are left alone. Reruns agree. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    own = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_quotas")]
     # A null array is one that holds the null source.
-    names = F.coalesce(F.col(members).cast("array<string>"), F.array(F.lit(None).cast("string"))) if members else F.array(F.col(source_col).cast("string"))
+    names = F.coalesce(quoted(members).cast("array<string>"), F.array(F.lit(None).cast("string"))) if members else F.array(quoted(source_col).cast("string"))
     # Null can't be a map key or joined by equality, so a pattern is the JSON string of its sorted sources.
-    rows = docs.withColumn("mix_pattern", F.to_json(F.array_sort(F.array_distinct(names)), {"ignoreNullFields": "false"}))
-    rows = rows.withColumn("mix_rank", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    rows = rows.withColumn("mix_bucket", F.shiftrightunsigned(F.col("mix_rank"), 64 - BUCKETS_LOG2).cast("int"))
-    rows = rows.withColumn("mix_size", word_count(F.col(text_col).cast("string")))
-    rows = rows.withColumn("mix_class", sum((F.col("mix_size") >= x).cast("int") for x in CLASSES))
-    sums = stash(rows.groupBy("mix_pattern", "mix_class", "mix_bucket").agg(F.sum("mix_size").alias("words")), "sums")
-    per = sums.groupBy("mix_pattern", "mix_class").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
+    pattern = F.to_json(F.array_sort(F.array_distinct(names)), {"ignoreNullFields": "false"})
+    rank = F.xxhash64(F.lit(seed), quoted(id_col), quoted(text_col))
+    # The input's columns stay inside one struct, so none can have a name that is used here.
+    rows = docs.select(F.struct(*map(quoted, own)).alias("doc"), pattern.alias("pattern"), F.shiftrightunsigned(rank, 64 - BUCKETS_LOG2).cast("int").alias("bucket"), word_count(quoted(text_col).cast("string")).alias("size"))
+    rows = rows.withColumn("class", sum((F.col("size") >= x).cast("int") for x in CLASSES))
+    sums = stash(rows.groupBy("pattern", "class", "bucket").agg(F.sum("size").alias("words")), "sums")
+    per = sums.groupBy("pattern", "class").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(per) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns of sources and size classes")
-    by_class = {(r["mix_pattern"], r["mix_class"]): int(r["words"]) for r in per}
+        raise ValueError(f"more than {MAX_PATTERNS} pairs of a pattern of sources and a size class")
+    by_class = {(r["pattern"], r["class"]): int(r["words"]) for r in per}
     capacity: dict[str, int] = {}
     for (k, _), words in by_class.items():
         capacity[k] = capacity.get(k, 0) + words
-    pattern = {k: tuple(json.loads(k)) for k in capacity}
+    sources = {k: tuple(json.loads(k)) for k in capacity}
     sizes: dict[str | None, int] = {}
-    for k, p in pattern.items():
+    for k, p in sources.items():
         for s in p:
             sizes[s] = sizes.get(s, 0) + capacity[k]
     goal = targets(sizes, weights, share, float(most))
-    flow = route({pattern[k]: capacity[k] for k in capacity}, goal, most)
-    full, more = {}, {}
-    for k, p in pattern.items():
-        amount = sum(flow[p].values())
-        full[k] = min(int(amount // capacity[k]), most) if capacity[k] else 0
-        more[k] = amount - full[k] * capacity[k]
-    cuts = _cuts(sums, by_class, capacity, more)
-    plan = [(k, c, full[k], cuts.get((k, c), 0), sum(sizes[s] for s in pattern[k]), float(sum(goal[s] for s in pattern[k]))) for k, c in by_class]
-    planned = spark.createDataFrame(plan, "plan_pattern string, plan_class int, mix_full int, mix_cut int, mix_source_size long, mix_target double")
+    flow = route({sources[k]: capacity[k] for k in capacity}, goal, most)
+    # Each source takes a stretch of the pattern's words, laid out pass after pass; ends: its (source, pass, words into it).
+    ends: dict[str, list[tuple[str | None, int, float]]] = {}
+    for k, p in sources.items():
+        upto, ends[k] = 0.0, []
+        for s in p:
+            if capacity[k] and (amount := flow[p].get(s, 0.0)) > 0:
+                upto += amount
+                full = min(int(upto // capacity[k]), most)
+                ends[k].append((s, full, upto - full * capacity[k]))
+    cuts = _cuts(sums, by_class, capacity, ends)
+    plan = [(k, c, [(s, full, cuts.get((k, c, j), 0)) for j, (s, full, _) in enumerate(ends[k])], sum(sizes[s] for s in sources[k]), float(sum(goal[s] for s in sources[k]))) for k, c in by_class]
+    planned = spark.createDataFrame(plan, "plan_pattern string, plan_class int, ends array<struct<source: string, full: int, cut: int>>, source_size long, target double")
     planned = F.broadcast(planned)  # at most MAX_PATTERNS rows
-    rows = rows.join(planned, (F.col("mix_pattern") == F.col("plan_pattern")) & (F.col("mix_class") == F.col("plan_class")))
-    taken = F.col("mix_size") * F.least(F.col("mix_full") + (F.col("mix_bucket") < F.col("mix_cut")).cast("int"), F.lit(most))
-    return rows.withColumn("mix_taken", taken.cast("long")).select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken")
+    rows = rows.join(planned, (F.col("pattern") == F.col("plan_pattern")) & (F.col("class") == F.col("plan_class")))
+    taker = f"transform(sequence(0, {most - 1}), p -> get(filter(ends, e -> p < e.full or (p = e.full and bucket < e.cut)), 0))"
+    rows = rows.withColumn("quotas", F.expr(f"if(size = 0, cast(array() as array<string>), transform(filter({taker}, e -> e is not null), e -> e.source))"))
+    return rows.select(*(F.col("doc")[c].alias(c) for c in own), F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), (F.col("size") * F.size("quotas")).cast("long").alias("mix_taken"), F.col("quotas").alias("mix_quotas"))
 
 
-def _cuts(sums: DataFrame, by_class: dict[tuple[str, int], int], capacity: dict[str, int], more: dict[str, float]) -> dict[tuple[str, int], int]:
-    """(pattern, class) -> the bucket before which documents get one more pass.
+def _cuts(sums: DataFrame, by_class: dict[tuple[str, int], int], capacity: dict[str, int], ends: dict[str, list[tuple]]) -> dict[tuple[str, int, int], int]:
+    """(pattern, class, j) -> the bucket before which the documents of its last pass go to source j or one before it.
 
     Every class gives its share of the pattern's words, at the nearest end of a bucket. What that is off
     by goes to the next smaller class, so the last error is half a bucket of the smallest documents.
     """
-    spark, out, off = sums.sparkSession, {}, dict.fromkeys(capacity, 0.0)
-    upto = F.sum("words").over(W.partitionBy("mix_pattern").orderBy("mix_bucket"))
+    spark, out = sums.sparkSession, {}
+    off = {(k, j): 0.0 for k, e in ends.items() for j in range(len(e))}
+    upto = F.sum("words").over(W.partitionBy("pattern").orderBy("bucket"))
     for c in range(len(CLASSES), -1, -1):
-        want = {k: min(float(w), max(0.0, more[k] * w / capacity[k] + off[k])) for (k, d), w in by_class.items() if d == c and capacity[k]}
+        share = {(k, j): ends[k][j][2] * w / capacity[k] for (k, d), w in by_class.items() if d == c for j in range(len(ends[k]))}
+        want = {(k, j): min(float(by_class[k, c]), max(0.0, x + off[k, j])) for (k, j), x in share.items()}
         if not want:
             continue
-        asked = F.broadcast(spark.createDataFrame(list(want.items()), "k string, want double"))  # at most MAX_PATTERNS rows
-        ends = sums.where(F.col("mix_class") == c).withColumn("upto", upto).join(asked, F.col("mix_pattern") == F.col("k"))
-        best = {r["k"]: r["e"] for r in ends.groupBy("k").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("want")).alias("miss"), "upto", "mix_bucket")).alias("e")).collect()}
-        for k, w in want.items():
-            if best[k]["miss"] <= w:  # else no bucket is nearer than none
-                out[k, c] = best[k]["mix_bucket"] + 1
-            off[k] += more[k] * by_class[k, c] / capacity[k] - (best[k]["upto"] if (k, c) in out else 0)
+        asked = F.broadcast(spark.createDataFrame([(k, j, w) for (k, j), w in want.items()], "k string, j int, want double"))  # a row per pattern and source of it
+        steps = sums.where(F.col("class") == c).withColumn("upto", upto).join(asked, F.col("pattern") == F.col("k"))
+        best = {(r["k"], r["j"]): r["e"] for r in steps.groupBy("k", "j").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("want")).alias("miss"), "upto", "bucket")).alias("e")).collect()}
+        for (k, j), w in want.items():
+            if best[k, j]["miss"] <= w:  # else no bucket is nearer than none
+                out[k, c, j] = best[k, j]["bucket"] + 1
+            off[k, j] += share[k, j] - (best[k, j]["upto"] if (k, c, j) in out else 0)
     return out
