@@ -4,7 +4,8 @@ Each text gives one row per distinct long line key: its 128-bit hash, the docume
 Rows are range-partitioned and sorted by (hash, document from the largest); a range can end inside a hash,
 so one very common line is dealt over many tasks. Two small facts per partition (how its first and last
 hash go on) let every task stream through its rows and decide at once, holding one document's row at most.
-Texts don't move: what comes back per document is a compressed bitmap of the lines to keep.
+What comes back per document that loses lines is a compressed bitmap of the lines to keep, not its text. Up to
+BITMAPS such documents the bitmaps go to the texts; above that texts and bitmaps meet in one shuffle.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import shared_folder, shuffle_partitions
+from . import textvec as V
+from .util import shared_folder, shuffle_partitions, stash
 
 _WHITE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
-_ROW = "h1 long, h2 long, doc long, row long, n_lines int, places binary"
+_ROW = "h1 long, h2 long, doc {0}, row long, n_lines int, places binary"
 #: Rows of an Arrow batch that a mapper returns.
 BATCH = 20_000
+#: Up to so many bitmaps of so many bytes in all are broadcast.
+BITMAPS, BITMAP_BYTES = 100_000, 2**24
 
 
 def _keys(least: int):
@@ -48,21 +52,22 @@ def _keys(least: int):
                     for col, x in zip(out, (h[0], h[1], doc, row, len(lines), np.array(at, np.int32).tobytes()), strict=True):
                         col.append(x)
                 if len(out[0]) >= BATCH:
-                    yield _batch(out)
+                    yield _batch(out, docs.type)
                     out = [[] for _ in range(6)]
-            yield _batch(out)
+            yield _batch(out, docs.type)
 
     return run
 
 
-def _batch(cols: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+def _batch(cols: list[list], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), kind, pa.int64(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h1", "h2", "doc", "row", "n_lines", "places"])
 
 
-def _stream(batches: Iterator[pa.RecordBatch], wide: bool = True):
-    """Rows in order; doc is None for a null id, which sorts last and counts as one document."""
+def _stream(batches: Iterator[pa.RecordBatch], kind: list[pa.DataType], wide: bool = True):
+    """Rows in order; doc is None for a null id, which sorts last and counts as one document. Appends the ids' type to kind."""
     for b in batches:
+        kind.append(b.column(2).type)
         yield from zip(*(c.to_pylist() for c in b.columns[: 6 if wide else 3]), strict=True)
 
 
@@ -70,9 +75,10 @@ def _borders(most: int):
     """A partition's first and last hash: documents there (up to `most`), and the outermost documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind: list[pa.DataType] = []
         first: list | None = None
         now: list | None = None  # [h1, h2, documents, first document, last document]
-        for h1, h2, doc in _stream(batches, wide=False):
+        for h1, h2, doc in _stream(batches, kind, wide=False):
             if now is None or (h1, h2) != (now[0], now[1]):
                 if now is not None and first is None:
                     first = now
@@ -83,7 +89,7 @@ def _borders(most: int):
             return
         rows = [[TaskContext.get().partitionId(), first is None, *x] for x in (first or now, now)]
         names = ["part", "single", "h1", "h2", "docs", "first_doc", "last_doc"]
-        kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), kind[0], kind[0])
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return run
@@ -127,16 +133,17 @@ def _verdicts(most: int, carry):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, last, after = carry.value.get(TaskContext.get().partitionId(), (0, None, 0))
         out: list[list] = [[] for _ in range(4)]
+        kind: list[pa.DataType] = []
 
         def drop(r: tuple) -> None:
             for col, x in zip(out, (r[2], r[3], r[4], r[5]), strict=True):
                 col.append(x)
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc", "row", "n_lines", "places"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (kind[0], pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc", "row", "n_lines", "places"])
 
         key, docs, doc, held, start = None, 0, None, [], True
-        for r in _stream(batches):
+        for r in _stream(batches, kind):
             if r[:2] != key:
                 key, held = r[:2], []
                 docs, doc = (before, last) if start and before else (0, object())
@@ -158,7 +165,8 @@ def _verdicts(most: int, carry):
         if docs + after >= most:
             for x in held:
                 drop(x)
-        yield batch()
+        if kind:
+            yield batch()
 
     return run
 
@@ -184,15 +192,16 @@ def keep_bitmaps(docs: DataFrame, least: int = 20, most: int = 3, id_col: str =
     spark = docs.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))  # checkpoint() needs it in the context
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    keys = rows.mapInArrow(_keys(least), _ROW)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    keys = rows.mapInArrow(V.lean(_keys(least)), _ROW.format(kind))
     order = ("h1", "h2", F.col("doc").desc_nulls_last())
     # Ranges must be the same for both passes below, so the sorted rows are written once.
     ranged = keys.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "row").checkpoint()
-    border = ranged.select("h1", "h2", "doc").mapInArrow(_borders(most), "part int, single boolean, h1 long, h2 long, docs int, first_doc long, last_doc long")
+    border = ranged.select("h1", "h2", "doc").mapInArrow(_borders(most), f"part int, single boolean, h1 long, h2 long, docs int, first_doc {kind}, last_doc {kind}")
     carry = spark.sparkContext.broadcast(_carry(border.collect(), most))  # two rows per partition
-    gone = ranged.mapInArrow(_verdicts(most, carry), "doc long, row long, n_lines int, places binary")
-    return gone.groupBy("doc", "row", "n_lines").agg(F.collect_set("places").alias("places")).mapInArrow(_bitmaps, "doc long, row long, n_lines int, n_dropped int, keep binary")
+    gone = ranged.mapInArrow(V.lean(_verdicts(most, carry)), f"doc {kind}, row long, n_lines int, places binary")
+    return gone.groupBy("doc", "row", "n_lines").agg(F.collect_set("places").alias("places")).mapInArrow(_bitmaps, f"doc {kind}, row long, n_lines int, n_dropped int, keep binary")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +225,13 @@ def drop_common_lines(docs: DataFrame, least: int = 20, most: int = 3, id_col: s
     white space at its ends, A-Z folded. Keys of at least `least` code points that at least `most`
     documents hold lose all their lines except in the largest doc_id. Rows with one id are one document,
     and so are all rows with a null id, which is smaller than any other; repeated rows all stay as rows.
+    Ids may have any type that has an order (strings: by code point).
     Extra columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("r", F.xxhash64("text"))
-    maps = keep_bitmaps(docs, least, most, id_col, text_col).select("doc", "row", "keep")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("r", F.xxhash64("text"))
+    maps = stash(keep_bitmaps(docs, least, most, id_col, text_col).select("doc", "row", "keep"), "bitmaps")
+    held = maps.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("keep")), F.lit(0)).alias("bytes")).first()
+    if held["n"] <= BITMAPS and held["bytes"] <= BITMAP_BYTES:
+        maps = F.broadcast(maps)
     joined = rows.join(maps, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("r") == F.col("row")), "left").select("doc_id", "text", "keep")
-    return joined.mapInArrow(_apply, "doc_id long, n_lines long, n_dropped long, kept_text string")
+    return joined.mapInArrow(V.lean(_apply), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_lines long, n_dropped long, kept_text string")
