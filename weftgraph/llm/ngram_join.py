@@ -35,7 +35,7 @@ from .components import components
 from .util import free_name, quoted, shuffle_partitions, small, stash
 
 #: N-grams that a task holds before they travel; one text may have more.
-HELD = 1_500_000
+HELD = 1_000_000
 #: Slices in which a task works through its fragment, to bound memory.
 SLICES = 3
 #: Fragments in which a pair's overlap is counted.
@@ -321,7 +321,7 @@ def _verify(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     left = cut.select(F.col("ent").alias("a"), F.col("n").alias("na"), "part", F.col("grams").alias("ga"))
     right = cut.select(F.col("ent").alias("b"), F.col("n").alias("nb"), F.col("part").alias("part2"), F.col("grams").alias("gb"))
     joined = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & (F.col("part") == F.col("part2"))).select(pairs["a"], pairs["b"], "na", "nb", "ga", "gb")
-    part = joined.mapInArrow(_overlaps, "a long, b long, na int, nb int, both long")
+    part = joined.mapInArrow(V.lean(_overlaps), "a long, b long, na int, nb int, both long")
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
     return total.where(F.col("both") * 100 >= percent * (F.col("na").cast("long") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -364,7 +364,7 @@ def _block_links(percent: int):
 
 def links(entities: DataFrame, percent: int) -> DataFrame:
     """Links enough to connect what the threshold connects, among (ent, n, own, prefix, grams) rows."""
-    cut = stash(entities.select("ent", "n", "grams").mapInArrow(_cut_sets, "ent long, n int, part int, grams binary"), "cut")
+    cut = stash(entities.select("ent", "n", "grams").mapInArrow(V.lean(_cut_sets), "ent long, n int, part int, grams binary"), "cut")
     buckets = entities.select(F.explode("prefix").alias("gram"), "ent", "n", "own").withColumn("comp", F.col("ent"))
     found: DataFrame | None = None
     for _ in range(HUB_ROUNDS):
@@ -419,12 +419,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bo
     kind = docs.schema[id_col].dataType.simpleString()
     row = [F.xxhash64(text_col).alias("row")] if with_row else []
     rows = docs.select(F.col(id_col).alias("doc_id"), *row, F.col(text_col).cast("string").alias("text"))
-    sizes = stash(rows.mapInArrow(_sizes(n, lower), f"doc_id {kind}, {'row long, ' * with_row}n_shingles long, ent long"), "sizes")
+    sizes = stash(rows.mapInArrow(V.lean(_sizes(n, lower)), f"doc_id {kind}, {'row long, ' * with_row}n_shingles long, ent long"), "sizes")
     real = sizes.where("n_shingles > 0")
     parts = shuffle_partitions(spark)
-    segments = rows.select("text").mapInArrow(_segments(n, lower, parts), "f int, blk long, entry boolean, blob binary").repartitionById(parts, "f")
-    shared = segments.mapInArrow(_frequencies(parts), "g int, f int, blob binary").repartitionById(parts, "g")
-    entities = stash(shared.mapInArrow(_prefixes(percent), "ent long, n int, own int, prefix array<long>, grams binary"), "entities")
+    segments = rows.select("text").mapInArrow(V.lean(_segments(n, lower, parts)), "f int, blk long, entry boolean, blob binary").repartitionById(parts, "f")
+    shared = segments.mapInArrow(V.lean(_frequencies(parts)), "g int, f int, blob binary").repartitionById(parts, "g")
+    entities = stash(shared.mapInArrow(V.lean(_prefixes(percent)), "ent long, n int, own int, prefix array<long>, grams binary"), "entities")
     roots = stash(components(links(entities, percent)), "roots")
     first = real.groupBy("ent").agg(F.min("doc_id").alias("first"))
     tagged = first.join(roots, F.col("ent") == F.col("node"), "left").withColumn("root", F.coalesce("root", "ent"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as V
-from .util import quoted, small, stash
+from .util import free_name, quoted, small, stash
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -120,7 +120,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Counts per input row. Null, empty and blank texts have zeros; a null stratum is its own ('')."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), _stratum(docs, stratum_col).alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_stats(), f"doc_id {kind}, row long, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return rows.mapInArrow(V.lean(_stats()), f"doc_id {kind}, row long, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def _stratum(docs: DataFrame, stratum_col: str | None) -> Column:
@@ -270,11 +270,12 @@ def keep(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float =
     Only labelled texts are read to calibrate, if their ids are few enough to be broadcast; then every text
     is judged where it stands: no text is shuffled or joined. Repeated rows share their fate.
     """
-    named = stash(labels.where("doc_id is not null").select(F.col("doc_id").alias("labelled_id")).distinct(), "labelled_ids")
+    labelled = free_name(docs, "labelled_id")
+    named = stash(labels.where("doc_id is not null").select(F.col("doc_id").alias(labelled)).distinct(), "labelled_ids")
     few = small(named)
-    known = docs if few is named else docs.join(few, F.col(id_col) == F.col("labelled_id"), "left_semi")
+    known = docs if few is named else docs.join(few, quoted(id_col) == F.col(labelled), "left_semi")
     cutoffs = calibrate(text_stats(known, id_col, text_col, stratum_col), labels, risk, doubt)
     whole = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"), _stratum(docs, stratum_col).alias("stratum"))
     schema = T.StructType([T.StructField("doc", docs.schema), T.StructField("stratum", T.StringType()), *(T.StructField(c, T.LongType()) for c in _COUNTS)])
-    judged = whole.mapInArrow(_stats(docs.columns.index(text_col)), schema).where(~base_failed() & ~cutoffs.rejects())
+    judged = whole.mapInArrow(V.lean(_stats(docs.columns.index(text_col))), schema).where(~base_failed() & ~cutoffs.rejects())
     return judged.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
