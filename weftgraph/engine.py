@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 from collections import defaultdict
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +24,20 @@ class GraphEngine:
 
     mode: 'strict' (the documented language) or 'compat' (see plans.lower). drop_dangling: edges whose
     far end has no node are no edges; set it False only for tables with enforced references, which
-    saves a join per hop where the schema implies the label. persist: keep the tables that queries use
-    in memory.
+    saves a join per hop where the schema implies the label. simple_edges: edge types that have at most
+    one edge from a node to another; their hops need no collapse of parallel edges. persist: keep the
+    tables that queries use in memory.
     """
 
-    def __init__(self, spark: SparkSession, schema: Schema | str, source: GraphSource, mode: str = "strict", drop_dangling: bool = True, max_hops: int = MAX_HOPS, persist: bool = False, reorder: bool = True):
+    def __init__(self, spark: SparkSession, schema: Schema | str, source: GraphSource, mode: str = "strict", drop_dangling: bool = True, max_hops: int = MAX_HOPS, persist: bool = False, reorder: bool = True, simple_edges: Iterable[str] = ()):
         if mode not in ("strict", "compat"):
             raise ValueError(f"unknown mode {mode}")
         self.spark, self.source, self.mode = spark, source, mode
         self._schema = parse_schema(schema) if isinstance(schema, str) else schema
         self.drop_dangling, self.max_hops, self.persist, self.reorder = drop_dangling, max_hops, persist, reorder
+        self.simple_edges = frozenset(simple_edges)
+        if unknown := self.simple_edges - set(self._schema.edges):
+            raise ValueError(f"simple_edges: the schema has no {', '.join(sorted(unknown))}")
         self.metrics: dict[str, float] = defaultdict(float)
         self._lock = threading.Lock()
         self._history: dict[int, dict] = {}
@@ -77,18 +82,48 @@ class GraphEngine:
         return lower(query, self._schema, self.mode, self.reorder)
 
     def execute(self, text: str, hydrate: bool = False) -> DataFrame:
-        """The query's rows: one per distinct full binding. hydrate adds <alias>_record columns."""
+        """The query's rows: one per distinct full binding. hydrate adds <alias>_record columns.
+
+        The frame is lazy, but for walks of more than CUT_EVERY hops, whose first depths are run at once.
+        """
         began = time.monotonic()
         self.metrics["graph_queries_total"] += 1
         try:
             plan = self.plan(text)
-            out = Compiler(self.spark, self._schema, self.snapshot, self.mode == "strict", self.drop_dangling, self.max_hops).run(plan, hydrate)
+            self.spark.sparkContext.setJobDescription(f"graph query: {' '.join(text.split())[:200]}")
+            out = Compiler(self.spark, self._schema, self.snapshot, self.mode == "strict", self.drop_dangling, self.max_hops, self.simple_edges, self._took).run(plan, hydrate)
         except Exception:
             self.metrics["graph_query_errors_total"] += 1
             raise
         self.metrics["graph_plan_seconds"] = time.monotonic() - began
         return out
 
+    def collect(self, text: str, hydrate: bool = False) -> list:
+        """The query's rows on the driver, for results known to be small; measures the whole query."""
+        began = time.monotonic()
+        rows = self.execute(text, hydrate).collect()
+        self._took("graph_query_latency_seconds", time.monotonic() - began)
+        return rows
+
+    def _took(self, name: str, seconds: float) -> None:
+        """Adds a measurement to a sum and its count."""
+        with self._lock:
+            self.metrics[f"{name}_sum"] += seconds
+            self.metrics[f"{name}_count"] += 1
+
+    def metrics_text(self) -> str:
+        """All metrics, with the snapshot's age, as Prometheus text."""
+        with self._lock:
+            now = dict(self.metrics) | {"graph_snapshot_age_seconds": time.time() - self._snapshot.built_at}
+        lines = []
+        for name in sorted(now):
+            base = name.removesuffix("_sum").removesuffix("_count")
+            kind = "summary" if base != name else "counter" if name.endswith("_total") else "gauge"
+            if (head := f"# TYPE {base} {kind}") not in lines:
+                lines.append(head)
+            lines.append(f"{name} {now[name]:.6g}")
+        return "\n".join(lines) + "\n"
+
     def explain(self, text: str) -> str:
         return self.plan(text).describe()
 

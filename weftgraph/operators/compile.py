@@ -6,6 +6,9 @@ steps read. Nothing is collected; Catalyst and AQE choose the join strategies.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,19 +26,25 @@ class HopLimit(ValueError):
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, schema: Schema, snapshot, strict: bool = True, drop_dangling: bool = True, max_hops: int = MAX_HOPS):
+    def __init__(self, spark: SparkSession, schema: Schema, snapshot, strict: bool = True, drop_dangling: bool = True, max_hops: int = MAX_HOPS, simple_edges: frozenset[str] = frozenset(), took: Callable[[str, float], None] | None = None):
+        self.simple_edges, self.took = simple_edges, took
         self.spark, self.schema, self.snapshot = spark, schema, snapshot
         self.strict, self.drop_dangling, self.max_hops = strict, drop_dangling, max_hops
 
     def run(self, plan: Plan, hydrate: bool = False) -> DataFrame:
         self.plan, self.needed = plan, plan.needed()
-        df = self._start()
-        for hop in plan.hops:
+        df, repeats = self._start(), False
+        for i, hop in enumerate(plan.hops):
+            began = time.monotonic()
             df = self._hop(df, hop)
+            repeats |= self._may_repeat(hop)
+            if repeats and i + 1 < len(plan.hops):  # else the next hop would multiply the repeats
+                df, repeats = df.distinct(), False
+            if self.took is not None:
+                self.took("graph_hop_latency_seconds", time.monotonic() - began)
         for anti in plan.anti:
             df = self._anti(df, anti)
-        # One dedup of full bindings does for all hops: a repeat can only come from parallel edges.
-        if any(h.edge_alias is None or h.rebind for h in plan.hops):
+        if repeats:
             df = df.distinct()
         if plan.order_by:
             key = self._column(plan.order_by.ref)[0]
@@ -46,6 +55,13 @@ class Compiler:
 
     # -- steps ---------------------------------------------------------------------------------
 
+    def _may_repeat(self, h: Expand) -> bool:
+        """A binding can come twice: from parallel edges that no alias tells apart, or when a name is bound anew."""
+        if h.rebind:
+            return True
+        simple = len(h.edge_types) <= 1 and self.simple_edges.issuperset(h.edge_types)
+        return h.edge_alias is None and h.single and not simple  # a walk gives each pair once
+
     def _empty(self, columns: list[tuple[str, T.DataType]]) -> DataFrame:
         return self.spark.createDataFrame([], T.StructType([T.StructField(n, t) for n, t in columns]))
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: Walks longer than this are refused unless the engine is told otherwise.
 MAX_HOPS = 32
-#: A walk's plan is cut after so many depths where the session has a checkpoint folder.
-CUT_EVERY = 6
+#: A walk's plan is cut after so many depths where the session has a checkpoint folder, so that it grows
+#: with the depth and not with its square. Cutting runs the depths so far when the query is compiled.
+CUT_EVERY = 4
 
 
 def single_hop(bindings: DataFrame, source: str, edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ of another type than declared. All reads are lazy, so column pruning and filters
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
@@ -18,6 +19,12 @@ from pyspark.sql import types as T
 from ..schema.types import Schema
 
 
+#: Providers whose tables are files that can be read by their paths.
+FILE_FORMATS = ("parquet", "orc", "csv", "json", "avro")
+#: Folder of a table's commits, one small file each; Spark's readers pass it over.
+COMMITS = "_commits"
+
+
 class MissingTable(LookupError):
     """A declared table isn't there or has no committed data."""
 
@@ -30,6 +37,36 @@ def table_name(kind: str, name: str) -> str:
     return f"{kind}_{name.lower()}"
 
 
+def _filesystem(spark: SparkSession, path: str) -> tuple[object, Callable]:
+    """The file system of a path by Spark's own settings, and what makes its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def commit_numbers(spark: SparkSession, path: str, open_too: bool = False) -> list[int]:
+    """Numbers of a table's commits, in order; none where there is no log. An empty file is a commit still open."""
+    fs, make = _filesystem(spark, path)
+    log = make(f"{path}/{COMMITS}")
+    if not fs.exists(log):
+        return []
+    return sorted(int(n) for s in fs.listStatus(log) if (n := s.getPath().getName().removesuffix(".json")).isdigit() and (open_too or s.getLen() > 0))
+
+
+def committed_files(spark: SparkSession, path: str, upto: int) -> list[str]:
+    """Data files of all commits up to a number, from its log on the driver (names only)."""
+    fs, make = _filesystem(spark, path)
+    files: list[str] = []
+    for n in commit_numbers(spark, path):
+        if n <= upto:
+            stream = fs.open(make(f"{path}/{COMMITS}/{n}.json"))
+            try:
+                entry = json.loads(bytes(stream.readAllBytes()).decode())
+            finally:
+                stream.close()
+            files = [f"{path}/{x}" for x in entry["files"]] + ([] if entry["replaces"] else files)
+    return files
+
+
 def conform(df: DataFrame, declared: T.StructType, what: str) -> DataFrame:
     have = {f.name: f.dataType for f in df.schema.fields}
     cols = []
@@ -75,25 +112,43 @@ class GraphSource:
 
 
 class ParquetSource(GraphSource):
-    """One folder per table. A version is the list of data files, so later appends don't show."""
+    """One folder per table, partitioned or not. A version is the list of data files, so later appends don't show.
+
+    A folder that `commit_table` writes has a log of commits: there a version is the last commit's number,
+    and files that no commit names are no data.
+    """
 
     format, options = "parquet", {}
 
     def __init__(self, root: str):
         self.root = root.rstrip("/")
 
+    def _path(self, kind: str, name: str) -> str:
+        return f"{self.root}/{table_name(kind, name)}"
+
     def latest(self, spark: SparkSession, kind: str, name: str) -> object:
-        path = f"{self.root}/{table_name(kind, name)}"
+        path = self._path(kind, name)
+        if commits := commit_numbers(spark, path):
+            return ("commit", commits[-1])
         try:
             files = tuple(sorted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{self.format}").load(path).inputFiles()))
         except AnalysisException as e:
             raise MissingTable(path) from e
         if not files:
             raise MissingTable(f"{path} has no committed data")
-        return files
+        return ("files", files)
+
+    def files(self, spark: SparkSession, kind: str, name: str, version: tuple) -> list[str]:
+        how, what = version
+        return committed_files(spark, self._path(kind, name), what) if how == "commit" else list(what)
+
+    def version_id(self, version: object) -> str:
+        return f"commit-{version[1]}" if version[0] == "commit" else super().version_id(version)
 
     def read(self, spark: SparkSession, kind: str, name: str, version: object) -> DataFrame:
-        return spark.read.format(self.format).options(**self.options).load(list(version))
+        # With the base path, folders such as day=1 below it give their columns.
+        reader = spark.read.format(self.format).options(**self.options).option("basePath", self._path(kind, name))
+        return reader.load(self.files(spark, kind, name, version))
 
 
 class CsvSource(ParquetSource):
@@ -107,11 +162,16 @@ class CsvSource(ParquetSource):
 
     def read(self, spark: SparkSession, kind: str, name: str, version: object) -> DataFrame:
         d = self.schema.nodes[name] if kind == "nodes" else self.schema.edges[name]
-        return spark.read.options(**self.options).schema(d.struct()).csv(list(version))
+        return spark.read.options(**self.options).schema(d.struct()).csv(self.files(spark, kind, name, version))
 
 
 class TableSource(GraphSource):
-    """Catalog tables. Where the catalog keeps snapshots (a `snapshots` metadata table), the newest is pinned."""
+    """Catalog tables of any file format, partitioned or not.
+
+    Where the catalog keeps snapshots (a `snapshots` metadata table), the newest is pinned. A table of files
+    is pinned to its present files, read by its own provider with its options. A view, a Hive table or a
+    table without files (JDBC) can't be pinned and is read as it is then.
+    """
 
     def __init__(self, namespace: str, create: bool = False):
         self.namespace, self.create = namespace, create
@@ -131,17 +191,26 @@ class TableSource(GraphSource):
         try:
             rows = spark.sql(f"SELECT snapshot_id FROM {table}.snapshots ORDER BY committed_at DESC LIMIT 1").collect()
         except AnalysisException:
-            return ("files", tuple(sorted(spark.table(table).inputFiles())))
+            about = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+            if about.get("Provider", "").lower() not in FILE_FORMATS or "Location" not in about:
+                return ("live", ())
+            return ("files", tuple(sorted(spark.table(table).inputFiles())), about["Provider"].lower(), about["Location"], about.get("Storage Properties", ""))
         if not rows:
             raise MissingTable(f"{table} has no committed data")
         return ("snapshot", rows[0][0])
 
     def read(self, spark: SparkSession, kind: str, name: str, version: object) -> DataFrame:
-        table, (how, what) = self._name(kind, name), version
+        table, (how, what, *more) = self._name(kind, name), version
         if how == "snapshot":
             return spark.sql(f"SELECT * FROM {table} VERSION AS OF {what}")
         df = spark.table(table)
-        return spark.read.schema(df.schema).parquet(*what) if what else df
+        if how == "live":
+            return df
+        if not what:  # nothing was there when it was pinned
+            return df.where(F.lit(False))
+        provider, location, properties = more
+        options = dict(x.split("=", 1) for x in properties.strip("[]").split(", ") if "=" in x)
+        return spark.read.format(provider).options(**options).schema(df.schema).option("basePath", location).load(list(what)).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 class RegisteredSource(GraphSource):

@@ -42,6 +42,8 @@ schema star_v1 {
 SPAN = 10**12
 LABELS = {"Region": 1, "Nation": 2, "Customer": 3, "Supplier": 4, "Part": 5, "Orders": 6, "Event": 7, "Turn": 8, "Document": 9, "Vec": 10}
 TYPES = {"IN_REGION": 1, "CUST_IN": 2, "SUPP_IN": 3, "PLACED": 4, "CONTAINS": 5, "SUPPLIED_BY": 6, "BOUGHT": 7, "RETURNED": 8, "NEXT_EVENT": 9, "NEXT_TURN": 10}
+#: Each starts or ends at the row that it is made from, so no two lead from one node to another.
+SIMPLE = ("IN_REGION", "CUST_IN", "SUPP_IN", "PLACED", "NEXT_EVENT", "NEXT_TURN")
 LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
@@ -101,8 +103,8 @@ def star_source(spark: SparkSession, sf_dir: str) -> RegisteredSource:
 
 
 def star_engine(spark: SparkSession, sf_dir: str, **options) -> GraphEngine:
-    """References in these tables are whole, so hops need no existence check."""
-    return GraphEngine(spark, SCHEMA, star_source(spark, sf_dir), **{"drop_dangling": False} | options)
+    """References in these tables are whole, so hops need no existence check; edges made from a key are simple."""
+    return GraphEngine(spark, SCHEMA, star_source(spark, sf_dir), **{"drop_dangling": False, "simple_edges": SIMPLE} | options)
 
 
 @dataclass(frozen=True)
@@ -157,6 +159,9 @@ CASES: dict[str, Case] = {
     "dangling_check": Case("MATCH (c:Customer)-[:PLACED]->(o:Orders) WHERE c.c_acctbal < 0.0 RETURN c, o", f"SELECT 3 * {SPAN} + o_custkey AS c, 6 * {SPAN} + o_orderkey AS o FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0", options={"drop_dangling": True}),
     "compat_hop": Case('MATCH (c:Customer {c_mktsegment: "BUILDING", c_custkey: 1})-[:PLACED]->(o:Orders) WHERE o.o_orderstatus <> "F" AND c <> c RETURN c.c_custkey, o.o_orderkey', "SELECT c_custkey AS c_c_custkey, o_orderkey AS o_o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus <> 'F'", options={"mode": "compat"}),
     "hydrate_record": Case('MATCH (r:Region {r_name: "ASIA"})<-[:IN_REGION]-(n:Nation) RETURN n, r', f"SELECT 2 * {SPAN} + n_nationkey AS n, {SPAN} + n_regionkey AS r, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'", after=lambda df: df.selectExpr("n", "r", "n_record.n_name AS n_name", "r_record.r_name AS r_name"), options={"hydrate": True}),
+    "hydrate_edge": Case("MATCH (o:Orders)-[l:CONTAINS]->(p:Part) WHERE o.o_totalprice > 300000.0 RETURN l, p", f"SELECT 5 * {SPAN} + l_orderkey * 1000 + rn AS l, 5 * {SPAN} + l_partkey AS p, 'CONTAINS' AS edge_type, l_quantity, l_tax, l_shipdate, p_name FROM {_LINE} JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_totalprice > 300000", after=lambda df: df.selectExpr("l", "p", "l_record.edge_type", "l_record.l_quantity", "l_record.l_tax", "l_record.l_shipdate", "p_record.p_name"), options={"hydrate": True}),
+    "vector_values": Case("MATCH (v:Vec) WHERE v.label >= 3 RETURN v.vec_id, v.label, v.embedding", "SELECT vec_id AS v_vec_id, label AS v_label, len(embedding) AS dim, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last FROM embeddings WHERE label >= 3", after=lambda df: df.selectExpr("v_vec_id", "v_label", "cast(size(v_embedding) as long) AS dim", "cast(v_embedding[0] as double) AS first", "cast(v_embedding[63] as double) AS last")),
+    "middle_start": Case('MATCH (c:Customer)-[:PLACED]->(o:Orders {o_orderstatus: "P"})-[s:SUPPLIED_BY]->(x:Supplier)-[:SUPP_IN]->(n:Nation) WHERE s.l_quantity > 40.0 AND c.c_nationkey <> x.s_nationkey RETURN c.c_custkey, s, n.n_name', f"SELECT c_custkey AS c_c_custkey, 6 * {SPAN} + l_orderkey * 1000 + rn AS s, n_name AS n_n_name FROM {_LINE} JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE o_orderstatus = 'P' AND l_quantity > 40 AND c_nationkey <> s_nationkey"),
     "downstream_agg": Case("MATCH (c:Customer)-[:PLACED]->(o:Orders) RETURN c.c_mktsegment, o.o_orderstatus", "SELECT c_mktsegment AS c_c_mktsegment, o_orderstatus AS o_o_orderstatus, count(*) AS n_orders FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL", after=lambda df: df.groupBy("c_c_mktsegment", "o_o_orderstatus").count().withColumnRenamed("count", "n_orders")),
 }
 
