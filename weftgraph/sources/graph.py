@@ -146,9 +146,11 @@ class ParquetSource(GraphSource):
         return f"commit-{version[1]}" if version[0] == "commit" else super().version_id(version)
 
     def read(self, spark: SparkSession, kind: str, name: str, version: object) -> DataFrame:
-        # With the base path, folders such as day=1 below it give their columns.
-        reader = spark.read.format(self.format).options(**self.options).option("basePath", self._path(kind, name))
-        return reader.load(self.files(spark, kind, name, version))
+        # With the base path, folders such as day=1 below it give their columns; whole numbers there are Int64.
+        files = self.files(spark, kind, name, version)
+        df = spark.read.format(self.format).options(**self.options).option("basePath", self._path(kind, name)).load(files)
+        folders = {part.split("=", 1)[0] for f in files for part in f.split("/")[:-1] if "=" in part}
+        return df.withColumns({c.name: F.col(f"`{c.name}`").cast("long") for c in df.schema.fields if c.name in folders and isinstance(c.dataType, T.IntegerType)})
 
 
 class CsvSource(ParquetSource):
