@@ -37,8 +37,8 @@ BITMAP_LOG2 = 27
 HOT_LEAST, HOT_MOST = 2000, 64
 #: Digests of windows that a task holds to count them before they travel.
 HELD = 500_000
-#: Word codes that a bucket task works on at once, beyond which it goes minimiser by minimiser.
-BUCKET_WORDS = 4_000_000
+#: Word codes that a bucket task works on at once; one minimiser may have more.
+BUCKET_WORDS = 2_000_000
 _R = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 _R_INV = tuple(np.uint64(pow(int(r), -1, 2**64)) for r in _R)
 
@@ -271,45 +271,55 @@ def _ranges(marks: np.ndarray, k: int) -> bytes:
 
 
 def _buckets(k: int):
-    """Packed super-k-mers of some minimisers -> (d1, d2, ranges) for those with a repeated window."""
+    """Packed super-k-mers, sorted by minimiser -> (d1, d2, ranges) for those with a repeated window.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [pa.Table.from_batches([b]) for b in batches]
-        if not held:
-            return
-        t = pa.concat_tables(held)
-        del held
-        blank = pa.compute.equal(pa.compute.binary_length(t["codes"]), 0)
-        hot, t = t.filter(blank), t.filter(pa.compute.invert(blank))
-        if hot.num_rows:
-            d1, d2, times = _tally(*(hot[c].to_numpy() for c in ("d1", "d2", "times")))
-            again = times > 1
-            whole = np.array([0, k], np.int32).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(d1[again]), pa.array(d2[again]), pa.array([whole] * int(again.sum()), pa.binary())], names=["m1", "m2", "ranges"])
-        if not t.num_rows:
-            return
+    Rows are held until whole minimisers of BUCKET_WORDS codes are there, whatever the partition's size.
+    """
+
+    def digests(t: pa.Table) -> pa.RecordBatch:
+        d1, d2, times = _tally(*(t[c].to_numpy() for c in ("d1", "d2", "times")))
+        again = times > 1
+        whole = np.array([0, k], np.int32).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(d1[again]), pa.array(d2[again]), pa.array([whole] * int(again.sum()), pa.binary())], names=["m1", "m2", "ranges"])
+
+    def windows(t: pa.Table) -> pa.RecordBatch:
         mini = t["minimiser"].to_numpy().view(np.uint64)
         d1, d2, times = (t[c].to_numpy() for c in ("d1", "d2", "times"))
-        order = np.argsort(mini, kind="stable")
-        codes = t["codes"].combine_chunks()
-        size = np.array(pa.compute.binary_length(codes)) // 8
-        change = np.flatnonzero(np.diff(mini[order], append=~mini[order][-1:])) + 1
-        load, lo = np.cumsum(size[order]), 0
-        while lo < len(order):  # whole minimisers, up to a bounded load
-            done = load[lo - 1] if lo else 0
-            ends = change[change > lo]
-            fit = ends[load[ends - 1] - done <= BUCKET_WORDS]
-            hi = int(fit[-1] if len(fit) else ends[0])
-            own = order[lo:hi]
-            words = np.frombuffer(b"".join(codes.take(pa.array(own)).to_pylist()), np.uint64)
-            marks = _count_windows(k, mini[own], times[own], words, size[own])
-            base = np.concatenate([[0], np.cumsum(size[own] - k + 1)])
-            any_mark = np.concatenate([[0], np.cumsum(marks)])
-            hit = np.flatnonzero(any_mark[base[1:]] > any_mark[base[:-1]])
-            _, one = np.unique(np.stack([d1[own[hit]], d2[own[hit]]], 1), axis=0, return_index=True)
-            hit = hit[one]
-            yield pa.RecordBatch.from_arrays([pa.array(d1[own[hit]]), pa.array(d2[own[hit]]), pa.array([_ranges(marks[base[i] : base[i + 1]], k) for i in hit], pa.binary())], names=["m1", "m2", "ranges"])
-            lo = hi
+        codes = t["codes"].to_pylist()
+        size = np.array([len(x) // 8 for x in codes], np.int64)
+        words = np.frombuffer(b"".join(codes), np.uint64)
+        del codes
+        marks = _count_windows(k, mini, times, words, size)
+        base = np.concatenate([[0], np.cumsum(size - k + 1)])
+        any_mark = np.concatenate([[0], np.cumsum(marks)])
+        hit = np.flatnonzero(any_mark[base[1:]] > any_mark[base[:-1]])
+        _, one = np.unique(np.stack([d1[hit], d2[hit]], 1), axis=0, return_index=True)
+        hit = hit[one]
+        return pa.RecordBatch.from_arrays([pa.array(d1[hit]), pa.array(d2[hit]), pa.array([_ranges(marks[base[i] : base[i + 1]], k) for i in hit], pa.binary())], names=["m1", "m2", "ranges"])
+
+    def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole minimisers: those of digests alone and those of codes."""
+        blank = pa.compute.equal(pa.compute.binary_length(t["codes"]), 0)
+        for part, work in ((t.filter(blank), digests), (t.filter(pa.compute.invert(blank)), windows)):
+            if part.num_rows:
+                yield work(part.combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        load = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            load += b.num_rows + b.column(4).nbytes // 8
+            mini = b.column(0).to_numpy()
+            if load >= BUCKET_WORDS and mini[0] != mini[-1]:  # all but the last minimiser, which may go on
+                cut = int(np.searchsorted(mini, mini[-1]))
+                yield from done(pa.Table.from_batches([*held[:-1], b.slice(0, cut)]))
+                held = [b.slice(cut)]
+                load = held[0].num_rows + int(pa.compute.sum(pa.compute.binary_length(held[0].column(4))).as_py() or 0) // 8
+        if held:
+            yield from done(pa.Table.from_batches(held))
 
     return run
 
@@ -369,11 +379,11 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = shuffle_partitions(spark)
     known = spark.sparkContext.broadcast(_known(rows.select("text"), k))  # 16 MB, and 512 bytes a partition
-    packed = rows.select("text").mapInArrow(_packed(k, known), "minimiser long, d1 long, d2 long, times long, codes binary")
-    repeated = stash(packed.repartition(parts, "minimiser").mapInArrow(_buckets(k), "m1 long, m2 long, ranges binary"), "repeated")
+    packed = rows.select("text").mapInArrow(V.lean(_packed(k, known)), "minimiser long, d1 long, d2 long, times long, codes binary")
+    repeated = stash(packed.repartition(parts, "minimiser").sortWithinPartitions("minimiser").mapInArrow(V.lean(_buckets(k)), "m1 long, m2 long, ranges binary"), "repeated")
     keyed = rows.withColumn("r1", F.xxhash64("doc_id", "text")).withColumn("r2", F.hash("text", "doc_id"))
-    refs = keyed.select("r1", "r2", "text").mapInArrow(_references(k, known), "r1 long, r2 int, at int, d1 long, d2 long")
+    refs = keyed.select("r1", "r2", "text").mapInArrow(V.lean(_references(k, known)), "r1 long, r2 int, at int, d1 long, d2 long")
     hits = refs.join(repeated, (F.col("d1") == F.col("m1")) & (F.col("d2") == F.col("m2"))).groupBy(F.col("r1").alias("h1"), F.col("r2").alias("h2")).agg(F.collect_set(F.struct("at", "ranges")).alias("hits"))
     joined = keyed.join(hits, (F.col("r1") == F.col("h1")) & (F.col("r2") == F.col("h2")), "left").select("doc_id", "text", "hits")
     id_type = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(_remove, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(V.lean(_remove), f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
