@@ -36,6 +36,9 @@ from .util import free_name, quoted, shuffle_partitions, small, stash
 
 #: N-grams that a task holds before they travel; one text may have more.
 HELD = 1_000_000
+#: An n-gram is hot from 1 / HOT of all texts on, and HOT_LEAST of them. A task reports what half that part of
+#: its own texts hold, so at most half as much again can stay unseen and be counted in one fragment.
+HOT, HOT_LEAST = 256, 10_000
 #: Slices in which a task works through its fragment, to bound memory.
 SLICES = 3
 #: Fragments in which a pair's overlap is counted.
@@ -60,15 +63,42 @@ def _sets(texts: pa.Array, n: int, lower: bool) -> Iterator[tuple[int, list[np.n
         yield lo, sets, V.mix(digest ^ (size * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def _frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams that many of the held sets have, and how many do."""
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    gram, times = np.unique(np.concatenate(held), return_counts=True)
+    many = times >= max(3, len(held) // (2 * HOT))
+    return gram[many], times[many]
+
+
 def _sizes(n: int, lower: bool):
+    """Texts -> their columns with set size and digest; and (gram in ent, times) of n-grams that may be hot."""
+
+    def frequent(held: list[np.ndarray], like: pa.RecordBatch) -> pa.RecordBatch:
+        gram, times = _frequent(held)
+        none = [pa.nulls(len(gram), c.type) for c in like.columns[:-1]]
+        return pa.RecordBatch.from_arrays([*none, pa.nulls(len(gram), pa.int64()), pa.array(gram.view(np.int64)), pa.array(times, pa.int64())], names=[*like.schema.names[:-1], "n_shingles", "ent", "times"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        load, b = 0, None
         for b in batches:
             size, ent = [], []
             for _, sets, digest in _sets(b.column(b.num_columns - 1), n, lower):
                 size += [len(s) for s in sets]
                 ent.append(digest.view(np.int64))
+                for d, x in zip(digest.tolist(), sets, strict=True):
+                    if d not in held and len(x):  # a copy adds nothing
+                        held[d] = x
+                        load += len(x)
+                if load >= HELD:
+                    yield frequent(list(held.values()), b)
+                    held, load = {}, 0
             ents = np.concatenate(ent) if ent else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size, pa.int64()), pa.array(ents)], names=[*b.schema.names[:-1], "n_shingles", "ent"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size, pa.int64()), pa.array(ents), pa.nulls(len(size), pa.int64())], names=[*b.schema.names[:-1], "n_shingles", "ent", "times"])
+        if held:
+            yield frequent(list(held.values()), b)
 
     return run
 
@@ -125,8 +155,15 @@ _ANSWER = np.dtype([("name", np.uint64), ("ent", np.uint64), ("n", np.uint32), (
 _IDX_BITS, _TURN_BITS = np.uint64(24), 20
 
 
-def _segments(n: int, lower: bool, fragments: int):
-    """Texts -> (f, blk, entry, blob): the part of every set that lies in fragment f, and the directory's part f."""
+#: What a row between the texts and the fragments holds.
+_GRAMS, _ENTRIES, _HOT = range(3)
+
+
+def _segments(n: int, lower: bool, fragments: int, hot):
+    """Texts -> (f, blk, what, blob): the part of every set that lies in fragment f, the directory's part f, hot n-grams.
+
+    A hot n-gram is its place in the broadcast, sorted list.
+    """
 
     def flush(held: list[tuple[list[np.ndarray], np.ndarray]], blk: int) -> Iterator[pa.RecordBatch]:
         digest = np.concatenate([d for _, d in held])
@@ -138,25 +175,34 @@ def _segments(n: int, lower: bool, fragments: int):
             return
         size = np.array([len(x) for x in own], np.int64)
         grams = np.concatenate(own)
+        names = np.repeat(np.arange(len(own), dtype=np.uint64), size)
+        known = np.frombuffer(hot.value, np.uint64)
+        if len(known):
+            at = np.searchsorted(known, grams)
+            is_hot = known[np.minimum(at, len(known) - 1)] == grams
+            if is_hot.any():
+                blob = _pack(*_runs(names[is_hot]), at[is_hot].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array([blk % fragments], pa.int32()), pa.array([blk], pa.int64()), pa.array([_HOT], pa.int8()), pa.array([blob], pa.binary())], names=["f", "blk", "what", "blob"])
+                grams, names = grams[~is_hot], names[~is_hot]
         f = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(f, kind="stable")
         cuts = np.searchsorted(f[order], np.arange(fragments + 1))
-        grams, who = grams[order], np.repeat(np.arange(len(own), dtype=np.uint64), size)[order]
-        del f, order, own, sets
+        grams, who = grams[order], names[order]
+        del f, order, own, sets, names
         entries = np.zeros(len(keep), _ENTRY)
         entries["ent"], entries["idx"], entries["n"] = digest[keep], np.arange(len(keep)), size
         to = (V.mix(entries["ent"]) % np.uint64(fragments)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         ends = np.searchsorted(to[order], np.arange(fragments + 1))
         for lo in range(0, fragments, 256):
-            fs, entry, blobs = [], [], []
+            fs, what, blobs = [], [], []
             for i in range(lo, min(fragments, lo + 256)):
                 if cuts[i] < cuts[i + 1]:
                     own = slice(cuts[i], cuts[i + 1])
-                    fs.append(i), entry.append(False), blobs.append(_pack(*_runs(who[own]), grams[own]))
+                    fs.append(i), what.append(_GRAMS), blobs.append(_pack(*_runs(who[own]), grams[own]))
                 if ends[i] < ends[i + 1]:
-                    fs.append(i), entry.append(True), blobs.append(entries[order[ends[i] : ends[i + 1]]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(fs, pa.int32()), pa.array([blk] * len(fs), pa.int64()), pa.array(entry, pa.bool_()), pa.array(blobs, pa.binary())], names=["f", "blk", "entry", "blob"])
+                    fs.append(i), what.append(_ENTRIES), blobs.append(entries[order[ends[i] : ends[i + 1]]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(fs, pa.int32()), pa.array([blk] * len(fs), pa.int64()), pa.array(what, pa.int8()), pa.array(blobs, pa.binary())], names=["f", "blk", "what", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, load, turn, first = [], 0, 0, TaskContext.get().partitionId() << _TURN_BITS
@@ -173,15 +219,19 @@ def _segments(n: int, lower: bool, fragments: int):
     return run
 
 
+#: Stands for the fragment of hot n-grams; the bits that name a fragment are all set.
+HOT_F = 2**16 - 1
+
+
 def _rank(df: np.ndarray) -> np.ndarray:
-    """8 steps an octave, in a byte: any order that is the same for all sets will do."""
-    return np.minimum(8 * np.log2(df), 255).astype(np.uint8)
+    """8 steps an octave, in a byte: any order that is the same for all sets will do. 255 is for hot n-grams."""
+    return np.minimum(8 * np.log2(df), 254).astype(np.uint8)
 
 
 def _frequencies(groups: int):
     """Fragments -> (g, f, blob): n-grams that occur twice or more by text group, with the frequency's rank and low byte.
 
-    Under f = -1: the directory's answers for a text group.
+    Under f = -1: the directory's answers for a text group; under HOT_F: hot n-grams, the last in the order.
     """
 
     def shared(name: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,8 +258,15 @@ def _frequencies(groups: int):
         held: dict[int, list[tuple[int, bytes]]] = {}
         entries: list[np.ndarray] = []
         for b in batches:
-            for f, blk, entry, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if entry:
+            for f, blk, what, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if what == _HOT:
+                    name, gram, _ = _unpack(blob)
+                    name = name + (np.uint64(blk) << _IDX_BITS)
+                    order = np.lexsort((gram, name, _group(name, groups)))
+                    name, gram = name[order], gram[order]
+                    last = [(g, HOT_F, _pack(*_runs(name[own]), gram[own]) + b"\xff" * len(gram[own]) + bytes(len(gram[own]))) for g, own in parts(name)]
+                    yield batch(last)
+                elif what == _ENTRIES:
                     rows = np.frombuffer(blob, _ENTRY)
                     known = np.zeros(len(rows), _ANSWER)
                     known["ent"], known["n"], known["name"] = rows["ent"], rows["n"], (np.uint64(blk) << _IDX_BITS) + rows["idx"]
@@ -419,10 +476,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, lower: bo
     kind = docs.schema[id_col].dataType.simpleString()
     row = [F.xxhash64(text_col).alias("row")] if with_row else []
     rows = docs.select(F.col(id_col).alias("doc_id"), *row, F.col(text_col).cast("string").alias("text"))
-    sizes = stash(rows.mapInArrow(V.lean(_sizes(n, lower)), f"doc_id {kind}, {'row long, ' * with_row}n_shingles long, ent long"), "sizes")
+    first_pass = stash(rows.mapInArrow(V.lean(_sizes(n, lower)), f"doc_id {kind}, {'row long, ' * with_row}n_shingles long, ent long, times long"), "sizes")
+    sizes = first_pass.where("times is null").drop("times")
+    least = max(HOT_LEAST, sizes.where("n_shingles > 0").count() // HOT)
+    # At most HOT times a text's mean number of n-grams: each has the places of a HOT-th of all texts.
+    hot = first_pass.where("times is not null").groupBy("ent").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("ent")
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64)).tobytes())
     real = sizes.where("n_shingles > 0")
     parts = shuffle_partitions(spark)
-    segments = rows.select("text").mapInArrow(V.lean(_segments(n, lower, parts)), "f int, blk long, entry boolean, blob binary").repartitionById(parts, "f")
+    segments = rows.select("text").mapInArrow(V.lean(_segments(n, lower, parts, hot)), "f int, blk long, what byte, blob binary").repartitionById(parts, "f")
     shared = segments.mapInArrow(V.lean(_frequencies(parts)), "g int, f int, blob binary").repartitionById(parts, "g")
     entities = stash(shared.mapInArrow(V.lean(_prefixes(percent)), "ent long, n int, own int, prefix array<long>, grams binary"), "entities")
     roots = stash(components(links(entities, percent)), "roots")
