@@ -14,6 +14,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textvec as V
+from .util import small, stash
+
 #: At most so many digest rows are broadcast (about 100 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 #: Texts that are encoded at once, and their bytes.
@@ -91,31 +94,27 @@ def token_counts(docs: DataFrame, tokenizer: TokenizerFile, cache: str, limit: i
     spark = docs.sparkSession
     path = f"{cache.rstrip('/')}/version={tokenizer.version}"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    # The corpus is read twice: once for digests and sizes, once for the texts that are missing.
+    sized = stash(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
     have = _read_cache(spark, path)
+    # One row per digest is encoded: that of the smallest id.
+    per = sized.groupBy("digest").agg(F.count("*").alias("times"), F.min("doc_id").alias("first"))
     texts = rows.select("doc_id", "digest", "text")
-    # One row per digest is encoded: that of the smallest id. Digests of one row need no choice.
-    per = rows.groupBy("digest").agg(F.count("*").alias("times"), F.min("doc_id").alias("first"))
-    if have is None:
+    if have is None:  # all are missing: only digests that repeat are joined, to leave out the further copies
         todo = _first_only(texts, per)
     else:
         missing = per.join(have.select(F.col("digest").alias("d")), F.col("digest") == F.col("d"), "left_anti").select(F.col("digest").alias("d"), "first")
-        todo = texts.join(_small(missing), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("digest", "text")
+        todo = texts.join(small(stash(missing, "missing"), BROADCAST_ROWS), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("digest", "text")
     # Rows that repeat an id and a text are encoded twice and stored once.
-    counted = todo.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long").groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    counted = todo.mapInArrow(V.lean(_encode(tokenizer)), "digest binary, n_tokens long").groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     counted.write.mode("append").parquet(path)
     # Runs that overlap may both store a digest: one row of each counts.
     cached = _read_cache(spark, path).groupBy(F.col("digest").alias("d")).agg(F.first("n_tokens").alias("n_tokens"))
-    sized = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return sized.join(cached, F.col("digest") == F.col("d")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The frame with a broadcast hint if it is small, by count."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _first_only(texts: DataFrame, per: DataFrame) -> DataFrame:
     """Texts without the further copies; only digests that repeat are joined, so most texts needn't move."""
     repeated = per.where("times > 1").select(F.col("digest").alias("d"), F.col("first"), F.lit(True).alias("again"))
-    joined = texts.join(_small(repeated), F.col("digest") == F.col("d"), "left")
+    joined = texts.join(small(stash(repeated, "repeated"), BROADCAST_ROWS), F.col("digest") == F.col("d"), "left")
     return joined.where(F.col("again").isNull() | F.col("doc_id").eqNullSafe(F.col("first"))).select("digest", "text")
