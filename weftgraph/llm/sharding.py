@@ -89,34 +89,34 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_i
     key = quoted(id_col)
     k2 = F.coalesce(F.xxhash64(key), F.lit(0)) if docs.schema[id_col].dataType.typeName() == "string" else F.coalesce(key.cast("long"), F.lit(-(2**63)))
     own = [c for c in docs.columns if c not in ("shard_size", "shard_crc32", "shard", "slot")]
-    # The input's columns travel inside one struct, so none can have a name that is used here.
-    keyed = docs.select(F.struct(*map(quoted, own)).alias("doc"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("k1"), k2.alias("k2"))
+    # Input columns get numbers for names on the way, so none can have a name that is used here.
+    carried = [quoted(c).alias(f"c{i}") for i, c in enumerate(own)]
+    keyed = docs.select(*carried, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("k1"), k2.alias("k2"))
     narrow = stash(keyed.select("k1", "k2", "size"), "keys")
     total = int(narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     splits, held = _splitters(narrow, total, seed) if total else ([], {})
     start_b = start_n = 0
-    starts, first, border = [], {}, []
+    starts, first, border = [(0, 0)] * (len(splits) + 1), {}, []
 
     def at(middle2: int) -> int:
         return min(shards - 1, middle2 * shards // (2 * max(1, total)))
 
     for k in sorted(held):
         b, n = held[k]
-        starts.append((k, start_b, start_n))
+        starts[k] = (start_b, start_n)
         lo, hi = at(2 * start_b), at(2 * (start_b + b))
         if lo == hi:
             first[lo] = min(first.get(lo, start_n), start_n)
         else:
             border.append(k)
         start_b, start_n = start_b + b, start_n + n
-    starts_df = docs.sparkSession.createDataFrame(starts, "start_range int, start_b long, start_n long")
 
     def placed(rows: DataFrame) -> DataFrame:
-        """Running sums inside ranges; the ranges' starts are MOST_RANGES rows or a few more."""
-        inside = W.partitionBy("start_range").orderBy("k1", "k2", "size")
-        rows = rows.join(F.broadcast(starts_df), F.col("range") == F.col("start_range"))
-        rows = rows.withColumn("n", F.col("start_n") + F.row_number().over(inside) - 1)
-        upto = F.col("start_b") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0))
+        """Running sums inside ranges; what stands before a range is looked up in constant arrays."""
+        inside = W.partitionBy("range").orderBy("k1", "k2", "size")
+        before_b, before_n = (F.expr(f"get(array({', '.join(f'{x[i]}L' for x in starts)}), range)") for i in (0, 1))
+        rows = rows.withColumn("n", before_n + F.row_number().over(inside) - 1)
+        upto = before_b + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0))
         rows = rows.withColumn("twice", (2 * upto - F.col("size")) * shards)
         return rows.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"twice div {2 * max(1, total)}")).cast("int"))
 
@@ -127,7 +127,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_i
             first[r["shard"]] = min(first.get(r["shard"], r["n"]), r["n"])
     out = placed(keyed.withColumn("range", place))
     begin = F.element_at(F.create_map(*(F.lit(x) for s in range(shards) for x in (s, first.get(s, 0)))), F.col("shard")).cast("long")
-    return out.select(*(F.col("doc")[c].alias(c) for c in own), F.col("size").alias("shard_size"), F.col("crc").alias("shard_crc32"), "shard", (F.col("n") - begin).alias("slot"))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)), F.col("size").alias("shard_size"), F.col("crc").alias("shard_crc32"), "shard", (F.col("n") - begin).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
