@@ -142,8 +142,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     # Null can't be a map key or joined by equality, so a pattern is the JSON string of its sorted sources.
     pattern = F.to_json(F.array_sort(F.array_distinct(names)), {"ignoreNullFields": "false"})
     rank = F.xxhash64(F.lit(seed), quoted(id_col), quoted(text_col))
-    # The input's columns stay inside one struct, so none can have a name that is used here.
-    rows = docs.select(F.struct(*map(quoted, own)).alias("doc"), pattern.alias("pattern"), F.shiftrightunsigned(rank, 64 - BUCKETS_LOG2).cast("int").alias("bucket"), word_count(quoted(text_col).cast("string")).alias("size"))
+    # Input columns get numbers for names on the way, so none can have a name that is used here.
+    rows = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(own)), pattern.alias("pattern"), F.shiftrightunsigned(rank, 64 - BUCKETS_LOG2).cast("int").alias("bucket"), word_count(quoted(text_col).cast("string")).alias("size"))
     rows = rows.withColumn("class", sum((F.col("size") >= x).cast("int") for x in CLASSES))
     sums = stash(rows.groupBy("pattern", "class", "bucket").agg(F.sum("size").alias("words")), "sums")
     per = sums.groupBy("pattern", "class").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
@@ -176,7 +176,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     rows = rows.join(planned, (F.col("pattern") == F.col("plan_pattern")) & (F.col("class") == F.col("plan_class")))
     taker = f"transform(sequence(0, {most - 1}), p -> get(filter(ends, e -> p < e.full or (p = e.full and bucket < e.cut)), 0))"
     rows = rows.withColumn("quotas", F.expr(f"if(size = 0, cast(array() as array<string>), transform(filter({taker}, e -> e is not null), e -> e.source))"))
-    return rows.select(*(F.col("doc")[c].alias(c) for c in own), F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), (F.col("size") * F.size("quotas")).cast("long").alias("mix_taken"), F.col("quotas").alias("mix_quotas"))
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)), F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), (F.col("size") * F.size("quotas")).cast("long").alias("mix_taken"), F.col("quotas").alias("mix_quotas"))
 
 
 def _cuts(sums: DataFrame, by_class: dict[tuple[str, int], int], capacity: dict[str, int], ends: dict[str, list[tuple]]) -> dict[tuple[str, int, int], int]:
