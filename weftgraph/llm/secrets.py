@@ -74,16 +74,16 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | Non
     def marked(x: Column) -> Column:
         lead = F.array_join(F.slice("w", F.greatest(x["at"] - 2, F.lit(1)), F.least(x["at"], F.lit(3))), " ")
         assigned = F.col("named") & F.rlike(F.concat(lead, F.lit(" " + _MARK), x["word"]), F.lit(_ASSIGNED))
-        return F.struct(x["at"].alias("at"), F.when(assigned, F.concat(F.lit(_MARK), x["word"])).otherwise(x["word"]).alias("word"), assigned.alias("marked"))
+        return F.struct(x["at"].alias("at"), F.when(assigned, F.concat(F.lit(_MARK), x["word"])).otherwise(x["word"]).alias("word"))
 
     rows = rows.withColumn("hits", F.filter(F.transform(found, marked), lambda x: F.rlike(x["word"], F.lit(CANDIDATE))))
-    each = rows.where("size(hits) > 0").select("doc_id", "row", "path", F.explode_outer(F.expr("transform(hits, x -> struct(x.at as at, x.word as word, x.marked as marked, array_join(slice(w, greatest(x.at - 2, 1), least(x.at, 3)), ' ') as lead, coalesce(get(w, x.at + 1), '') as next))")).alias("h"))
+    each = rows.where("size(hits) > 0").select("doc_id", "row", "path", F.explode_outer(F.expr("transform(hits, x -> struct(x.at as at, x.word as word, array_join(slice(w, greatest(x.at - 2, 1), least(x.at, 3)), ' ') as lead, coalesce(get(w, x.at + 1), '') as next))")).alias("h"))
     tokens = F.regexp_extract_all("h.word", F.lit(CANDIDATE), F.lit(0))
     each = each.select("doc_id", "row", "path", "h", F.split("h.word", CANDIDATE).alias("between"), F.posexplode(tokens).alias("part", "candidate"))
     gap, rest = F.get("between", F.col("part")), F.get("between", F.col("part") + 1)
     before = F.concat_ws(" ", "h.lead", F.translate(gap, _MARK, ""))
     last = F.when(F.col("part") + 2 >= F.size("between"), rest)
-    return each.select("doc_id", F.col("h.at").alias("at"), "part", "candidate", before.alias("before"), F.concat_ws(" ", rest, "h.next").alias("after"), "path", "row", F.col("h.marked").alias("marked"), gap.alias("gap"), last.alias("rest"))
+    return each.select("doc_id", F.col("h.at").alias("at"), "part", "candidate", before.alias("before"), F.concat_ws(" ", rest, "h.next").alias("after"), "path", "row", F.startswith("h.word", F.lit(_MARK)).alias("marked"), gap.alias("gap"), last.alias("rest"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -97,12 +97,20 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _candidates(docs, id_col, text_col, path_col).select("doc_id", "at", "part", "candidate", "before", "after", "path")
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, the longest first, told apart by their first letter."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=len, reverse=True):
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{x}(?:{'|'.join(rest)})" for x, rest in sorted(by.items())) + ")"
+
+
 def features(found: DataFrame) -> DataFrame:
     """Adds FEATURES as doubles to rows with candidate, before, after and path."""
     c, n = F.col("candidate"), F.greatest(F.length("candidate"), F.lit(1))
     kinds = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "A" * 26 + "a" * 26 + "0" * 10)
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(kinds, "A+", "A"), "a+", "a"), "0+", "0")
-    bare = F.regexp_replace(F.lower(c), "(" + "|".join(sorted(WORDS, key=len, reverse=True)) + ")", "")
+    bare = F.regexp_replace(F.lower(c), _any_of(WORDS), "")
 
     def share(pattern: str) -> Column:
         return 1 - F.length(F.regexp_replace(c, pattern, "")) / n
@@ -110,7 +118,7 @@ def features(found: DataFrame) -> DataFrame:
     cols = {
         "length": F.length(c),
         "transitions": (F.length(runs) - 1) / n,
-        "pairs": F.size(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(2))), lambda x: x.isin(PAIRS))) / n,
+        "pairs": 1 - F.length(F.regexp_replace(F.lower(c), _any_of(PAIRS), "")) / n,
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "digits": share("[0-9]"),
         "upper": share("[A-Z]"),
