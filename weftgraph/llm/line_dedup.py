@@ -4,8 +4,8 @@ Each text gives one row per distinct long line key: its 128-bit hash, the docume
 Rows are range-partitioned and sorted by (hash, document from the largest); a range can end inside a hash,
 so one very common line is dealt over many tasks. Two small facts per partition (how its first and last
 hash go on) let every task stream through its rows and decide at once, holding one document's row at most.
-What comes back per document that loses lines is a compressed bitmap of the lines to keep, not its text. Up to
-BITMAPS such documents the bitmaps go to the texts; above that texts and bitmaps meet in one shuffle.
+What comes back per document that loses lines is a compressed bitmap of the lines to keep, not its text. Applying
+the bitmaps is a join: texts and bitmaps meet in one shuffle unless Spark finds the bitmaps small.
 """
 
 from __future__ import annotations
@@ -21,15 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as V
-from .util import shared_folder, shuffle_partitions, stash
+from .util import shared_folder, shuffle_partitions
 
 _WHITE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _ROW = "h1 long, h2 long, doc {0}, row long, n_lines int, places binary"
 #: Rows of an Arrow batch that a mapper returns.
 BATCH = 20_000
-#: Up to so many bitmaps of so many bytes in all are broadcast.
-BITMAPS, BITMAP_BYTES = 100_000, 2**24
 
 
 def _keys(least: int):
@@ -229,9 +227,6 @@ def drop_common_lines(docs: DataFrame, least: int = 20, most: int = 3, id_col: s
     Extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("r", F.xxhash64("text"))
-    maps = stash(keep_bitmaps(docs, least, most, id_col, text_col).select("doc", "row", "keep"), "bitmaps")
-    held = maps.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("keep")), F.lit(0)).alias("bytes")).first()
-    if held["n"] <= BITMAPS and held["bytes"] <= BITMAP_BYTES:
-        maps = F.broadcast(maps)
+    maps = keep_bitmaps(docs, least, most, id_col, text_col).select("doc", "row", "keep")
     joined = rows.join(maps, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("r") == F.col("row")), "left").select("doc_id", "text", "keep")
     return joined.mapInArrow(V.lean(_apply), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_lines long, n_dropped long, kept_text string")
