@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express.
 
 op4 (tokenizer), op6 (sampled borders), op7 (flow and seeded selection), op9 (calibrated verdicts) and
-op10 (forest) have none; tests hold op4 and op9's counts against brute force, the rest against chosen cases.
+op10 (forest) have none; tests hold them against plain Python or by what they promise (tests/llm/test_brute_force.py).
 """
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
