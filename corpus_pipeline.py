@@ -51,7 +51,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("mixing to target weights", mix), ("sharding", shards)]
 
-#: Calibrated thresholds and a seeded mix are not expressible in SQL; tests check chosen cases.
+#: Calibrated thresholds and a seeded mix are not expressible in SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
