@@ -110,7 +110,8 @@ def windows(hashes: np.ndarray, first: np.ndarray, n: int, short: bool) -> tuple
 
 
 def give_back() -> None:
-    """Returns freed memory to the system."""
+    """Returns freed memory, and the tables of powers, to the system."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc only
         trim(0)
