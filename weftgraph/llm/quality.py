@@ -5,10 +5,12 @@ made stricter together, step by step, one feature's cutoff at a time. After each
 (Clopper-Pearson) upper bound of the rate at which all rules together reject labelled good texts must stay
 below `risk`. The first failure ends the sequence, which needs no correction of its own (fixed-sequence
 testing): its order comes from the good texts of the other strata and the bad texts of all, so the good
-texts of the stratum itself are only tested. The bound's level is `doubt` divided by all strata
-(Bonferroni). So with probability 1 - doubt no stratum loses more than `risk` of its good texts to all
-rules together. A stratum with too few labels gets no cutoff and rejects nothing beyond the base rule: it
-takes log(level) / log(1 - risk) good texts, 217 with four strata, if none of them is rejected.
+texts of the stratum itself are only tested. The bound's level is `doubt` divided by the number m of strata
+that are tested (Bonferroni): those with the most good labels, as many as can pass at `doubt` / m if none of
+their good texts is rejected. Only the labels' number decides that, so it needs no correction. With
+probability 1 - doubt no stratum loses more than `risk` of its good texts to all rules together. The other
+strata get no cutoff and reject nothing beyond the base rule: one takes log(doubt / m) / log(1 - risk) good
+texts, 149 if it is the only one and 217 if it is one of four.
 """
 
 from __future__ import annotations
@@ -208,6 +210,12 @@ def _order(good: dict[str, int], bad: dict[str, int]) -> list[tuple[str, int]]:
     return [(f, -i) for _, i, _, f in sorted(worth) + sorted(free)]
 
 
+def _tested(good: dict[str, int], risk: float, doubt: float) -> list[str]:
+    """The strata that are tested, at a level of `doubt` over their number, from the number of good texts."""
+    most = sorted(good, key=lambda s: (-good[s], s))
+    return most[: max((m for m, s in enumerate(most, 1) if (1 - risk) ** good[s] <= doubt / m), default=0)]
+
+
 def calibrate(stats: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> Cutoffs:
     """Cutoffs from all labelled texts (labels: doc_id, quality) that pass the base rule.
 
@@ -227,8 +235,12 @@ def calibrate(stats: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: fl
     keys = ["n", *(f"{f}@{i}" for f in FEATURES for i in range(len(GRID)))]
     all_good = {k: sum(r[k] for r in good.values()) for k in keys}
     all_bad = {k: sum(r[k] for r in found if not r["good"]) for k in keys}
+    strata = _tested({s: own["n"] for s, own in good.items()}, risk, doubt)
+    if not strata:
+        return Cutoffs({})
     order, plan, never = {}, [], len(keys)
-    for s, own in good.items():
+    for s in strata:
+        own = good[s]
         order[s] = _order({k: all_good[k] - own[k] for k in keys}, all_bad)
         step = {x: t for t, x in enumerate(order[s])}
         # The first step that rejects a text of this place, feature after feature.
@@ -237,10 +249,10 @@ def calibrate(stats: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: fl
     first = F.least(*(F.get("steps", F.lit(j * (len(GRID) + 1)) + F.col(f)) for j, f in enumerate(FEATURES)))
     hits = rows.where("good").join(planned, F.col("stratum") == F.col("s")).groupBy("stratum", first.alias("step")).agg(F.count("*").alias("k")).collect()
     lost = {(r["stratum"], r["step"]): r["k"] for r in hits}
-    level = doubt / len(good)
+    level = doubt / len(strata)
     values: dict[tuple[str, str], float] = {}
-    for s, own in good.items():
-        k, tested = 0, -1
+    for s in strata:
+        own, k, tested = good[s], 0, -1
         for t, (f, i) in enumerate(order[s]):  # a fixed order, ended by the first failure
             k += lost.get((s, t), 0)
             if k > tested and (k > risk * own["n"] or binomial_upper(k, own["n"], level) > risk):
